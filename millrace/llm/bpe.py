@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,12 +27,13 @@ from pyspark.sql import types as T
 
 from millrace.llm import common
 
-#: Words whose encodings a worker keeps; it starts anew when they are more.
-CACHE_WORDS = 200_000
+#: Runs and words whose encodings a worker keeps; it starts anew when they are more.
+CACHE_RUNS = 500_000
+CACHE_WORDS = 500_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 4_000_000
-_END = "</w>"
 _FAR = np.int64(1) << 60
+_NEVER = 1 << 60
 _UNUSUAL_SPACE = regex.compile("[\x1c-\x1f]")
 
 
@@ -69,25 +71,31 @@ class WordCodec:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((self.vocab[left], self.vocab[right]), (rank, self.vocab[left + right]))
         self.kept: dict[str, bytes] = {}
+        self.kept_words: dict[str, bytes] = {}
         self._prepare()
 
     # -- exact merging, the slow way
 
-    def units(self, word: str) -> list[str]:
-        """The letters of a word's bytes, the last with the mark of a word's end."""
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.end
-        return letters
+    def spelled(self, word: str) -> str:
+        """The letters of a word's bytes; the mark of a word's end is not among them."""
+        return word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+
+    def letter_ids(self, letters: str) -> list[int]:
+        vocab = self.vocab
+        return [*(vocab[c] for c in letters[:-1]), vocab[letters[-1] + self.end]]
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the pair of lowest rank, the leftmost of equals, until no pair is left."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best = min(((self.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merges), default=None)
-            if best is None:
-                break
-            k = best[1]
-            ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
+        ids, merges, none = list(ids), self.merges, (_NEVER, 0)
+        ranks = [merges.get(p, none)[0] for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != _NEVER:
+            k = ranks.index(best)
+            ids[k : k + 2] = [merges[ids[k], ids[k + 1]][1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = merges.get((ids[k - 1], ids[k]), none)[0]
+            if k < len(ranks):
+                ranks[k] = merges.get((ids[k], ids[k + 1]), none)[0]
         return ids
 
     # -- tables of the verification
@@ -130,7 +138,13 @@ class WordCodec:
         ranks = np.array([rank for rank, _ in self.merges.values()], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = np.append(keys[order], _FAR), np.append(ranks[order], _FAR)
-        self.longest = max((len(name) for name in self.vocab), default=1)
+        #: Tokens that may be proposed by their string, the longest of all and of each first two letters.
+        self.proposed = {name: k for name, k in self.vocab.items() if self.proper[k] or k not in split}
+        self.longest = max(len(name.removesuffix(self.end)) for name in self.proposed)
+        self.reach: dict[str, int] = {}
+        for name in self.proposed:
+            if not name.endswith(self.end):
+                self.reach[name[:2]] = max(len(name), self.reach.get(name[:2], 1))
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the letters of each pair of tokens gives back that pair.
@@ -157,13 +171,18 @@ class WordCodec:
 
     # -- encoding
 
-    def guess(self, units: list[str]) -> list[int]:
+    def guess(self, letters: str) -> list[int]:
         """Greedy longest match from the left."""
-        found, at, n = [], 0, len(units)
+        found, at, n, whole = [], 0, len(letters), letters + self.end
+        proposed, reach = self.proposed, self.reach
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                k = self.vocab.get("".join(units[at:end]))
-                if k is not None and (self.proper[k] or end == at + 1):
+            k = proposed.get(whole[at:]) if n - at <= self.longest else None
+            if k is not None:
+                found.append(k)
+                break
+            for end in range(min(n - 1, at + reach.get(whole[at : at + 2], 1)), at, -1):
+                k = proposed.get(whole[at:end])
+                if k is not None:
                     break
             found.append(k)
             at = end
@@ -171,18 +190,20 @@ class WordCodec:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: guess all, test all adjacent pairs at once, merge what fails."""
-        units = [self.units(w) for w in words]
-        guesses = [self.guess(u) for u in units]
+        letters = [self.spelled(w) for w in words]
+        guesses = [self.guess(x) for x in letters]
         flat = np.fromiter(chain.from_iterable(guesses), np.int64)
         owner = np.repeat(np.arange(len(words)), [len(g) for g in guesses])
         inside = owner[:-1] == owner[1:]
         left, right, owner = flat[:-1][inside], flat[1:][inside], owner[:-1][inside]
-        for k in np.unique(owner[~self.compatible(left, right)]):
-            guesses[k] = self.merge([self.vocab[u] for u in units[k]])
+        for k in np.unique(owner[~self.compatible(left, right)]).tolist():
+            guesses[k] = self.merge(self.letter_ids(letters[k]))
         return guesses
 
     def normal(self, text: str) -> str:
         """NFC, then each character's own lower case (no final sigma)."""
+        if text.isascii():
+            return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pieces(self, chunk: str) -> list[str | int]:
@@ -195,16 +216,20 @@ class WordCodec:
     def learn(self, chunks: set[str]) -> None:
         """Encode runs that aren't kept yet."""
         pieces = {c: self.pieces(c) for c in chunks}
-        words = list({p for ps in pieces.values() for p in ps if isinstance(p, str)})
-        ids = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
+        words = {p for ps in pieces.values() for p in ps if isinstance(p, str)}
+        if len(self.kept_words) + len(words) > CACHE_WORDS:
+            self.kept_words.clear()
+        kept = self.kept_words
+        if new := [w for w in words if w not in kept]:
+            kept.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.encode_words(new), strict=True))
         for c, ps in pieces.items():
-            self.kept[c] = np.fromiter(chain.from_iterable([p] if isinstance(p, int) else ids[p] for p in ps), np.int32).tobytes()
+            self.kept[c] = b"".join([kept[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in ps])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the offsets of the texts."""
         split = [[] if not t else t.split() if not _UNUSUAL_SPACE.search(t) else regex.split(r"[^\S\x1c-\x1f]+", t) for t in texts]
         new = set().union(*split) - self.kept.keys()
-        if len(self.kept) + len(new) > CACHE_WORDS:
+        if len(self.kept) + len(new) > CACHE_RUNS:
             self.kept.clear()
             new = set().union(*split)
         if new:
