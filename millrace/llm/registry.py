@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, linededup, mixing, quality
+from millrace.llm import bpe, chat, fingerprint, linededup, mixing, quality, tokencount
 from millrace.llm.common import stored, table
 
 #: The vocabulary of the encoder; where its package is missing, name the file here.
 try:
     import public_tokenizers
 
-    WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+    WORD_BPE, BYTE_RANKS, BYTE_PATTERN = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 except ModuleNotFoundError:
-    WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
+    WORD_BPE, BYTE_RANKS = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    BYTE_PATTERN = r"\S+|\s+"
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,27 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, its edited text's, and how alike they and the next document's are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fingerprint.with_edits(docs)
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.lower(F.hex("sha")).alias("edited_sha256"),
+        fingerprint.as_text(F.col("signature")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fingerprint.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths of all documents with its suffix sums."""
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.histogram(tokencount.lengths(docs, BYTE_RANKS, BYTE_PATTERN))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of sources takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_in(F.col("text")).alias("n"))
@@ -65,6 +87,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op5_chat": op5_chat, "op9_mix": op9_mix, "op10_quality": op10_quality}
+QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 ORACLES = {"op3_lines": linededup.SQL, "op5_chat": chat.digest_sql()}
