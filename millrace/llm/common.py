@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch where they exceed BATCH_ROWS."""
+    """Before Python runs on executors: rows per Arrow batch are BATCH_ROWS at most, and workers find this package."""
+    paths = [p for p in (str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH")) if p]
+    spark.sparkContext.environment["PYTHONPATH"] = ":".join(dict.fromkeys(":".join(paths).split(":")))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

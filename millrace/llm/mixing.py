@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_PATTERN, stored
+from millrace.llm.common import WORD_PATTERN, small_batches, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -110,6 +110,7 @@ def mixed(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: f
     `order` names the columns that tell rows of a length apart, doc_id first.  Columns of
     docs that have the name of a column made here are replaced.
     """
+    small_batches(docs.sparkSession)
     made = ("size", "source_size", "target", "copies")
     size = words_in(F.col("text")) if size is None else size
     rows = docs.select(*(c for c in docs.columns if c.lower() not in made), size.alias("size")).withColumn("salt_", F.pmod(F.xxhash64(F.lit(seed + 1), *order), F.lit(SALTS)))

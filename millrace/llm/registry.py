@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, fingerprint, linededup, mixing, quality, tokencount
+from millrace.llm import bpe, chat, fingerprint, jaccard, linededup, mixing, quality, tokencount
 from millrace.llm.common import stored, table
 
 #: The vocabulary of the encoder; where its package is missing, name the file here.
@@ -35,6 +35,11 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of each document."""
+    return jaccard.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each conversation's turns and loss text, read back from the formatted output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -87,6 +92,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
+QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 ORACLES = {"op3_lines": linededup.SQL, "op5_chat": chat.digest_sql()}
