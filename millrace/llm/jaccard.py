@@ -229,7 +229,7 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
             by = np.argsort(bucket, kind="stable")
             v, c, bucket = v[by], c[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(v) else np.zeros(0, np.int64)
-            for a, b in zip(cut, np.append(cut[1:], len(v)), strict=True):
+            for a, b in zip(cut, np.append(cut, len(v))[1:], strict=True):
                 out["bucket"].append(int(bucket[a]))
                 out["known"].append(known)
                 out["signatures"].append(v[a:b].tobytes())
