@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 SAMPLES = 32
 LEVELS = 4096
+GROUP = 8
 SEPARATORS = " \t\n\x0b\f\r"
 #: Cells of the range of ids that are weighed and dealt to buckets; the driver gets a row of each.
 CELLS = 16_384
@@ -44,35 +45,50 @@ def gamma_levels() -> np.ndarray:
     return (low + high) / 2
 
 
-def term_weights(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, term (a hash), ln_w: one row for each word of each row's text."""
-    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SEPARATORS))
-    words = rows.select(*keys, F.explode(F.split(trimmed, "[\\x20\\x09-\\x0D]+")).alias("word")).select(*keys, F.xxhash64("word").alias("term"))
-    return words.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("ln_w"))
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def term_weights(text: Column) -> Column:
+    """The terms of a text: array of (term, a hash; ln_w, the logarithm of its number)."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
+    hashes = F.sort_array(F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w)))
+
+    def runs(h: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        length = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(h)) - i
+        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(h, i).alias("term"), F.log(length(at, i, k).cast("double")).alias("ln_w"))))
+
+    return _let(hashes, runs)
 
 
 def signatures(weights: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, signature array<long>: a sample of each function."""
+    """keys, signature array<long>: a sample of each function, from rows (keys, term, ln_w).
+
+    Each row is dealt to the groups of GROUP functions, which keeps compiled methods small.
+    """
     r_of, ln_c_of = F.lit(gamma_levels()), F.lit(np.log(gamma_levels()))
-    level = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(LEVELS - 1)).cast("int")
-    names = range(samples)
-    step = weights.select(*keys, "ln_w", *(F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in names))
+    names = range(GROUP)
+    rows = weights.select(*keys, "ln_w", "term", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // GROUP) - 1))).alias("group_"))
+    step = rows.select(*keys, "group_", "ln_w", "term", *(F.hash("term", "group_", F.lit(k)).alias(f"h{k}") for k in names), *(F.hash(F.lit(k), "group_", "term").alias(f"g{k}") for k in names))
+    bits = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(LEVELS - 1))
     step = step.select(
-        *keys,
-        "ln_w",
-        *(f"h{k}" for k in names),
-        *(F.get(r_of, level(F.col(f"h{k}"), 0)).alias(f"r{k}") for k in names),
-        *((F.shiftrightunsigned(F.col(f"h{k}"), 24).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") * (1.0 / (1 << 24))).alias(f"b{k}") for k in names),
-    )
-    step = step.select(*keys, *(f"h{k}" for k in names), *(f"r{k}" for k in names), *(f"b{k}" for k in names), *(F.floor(F.col("ln_w") / F.col(f"r{k}") + F.col(f"b{k}")).alias(f"t{k}") for k in names))
+        *keys, "group_", "ln_w", *(f"h{k}" for k in names), *(f"g{k}" for k in names),
+        *(F.get(r_of, bits(F.col(f"h{k}"), 0)).alias(f"r{k}") for k in names), *(F.get(ln_c_of, bits(F.col(f"h{k}"), 12)).alias(f"c{k}") for k in names),
+        *((F.col(f"g{k}") * (1.0 / (1 << 32)) + 0.5).alias(f"b{k}") for k in names),
+    )
 
     def packed(k: int) -> Column:
-        h, r, b, t = (F.col(f"{x}{k}") for x in "hrbt")
-        ln_a = F.get(ln_c_of, level(h, 12)) - r * (t.cast("double") - b) - r
-        return F.shiftleft(((ln_a + 200.0) * _FIXED).cast("long"), _SHIFT).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(_LOW)))
+        h, g, r, c, b = (F.col(f"{x}{k}") for x in "hgrcb")
+        t = F.floor(F.col("ln_w") / r + b)
+        ln_a = c - r * (t - b) - r
+        return F.shiftleft(F.floor((ln_a + 200.0) * _FIXED), _SHIFT).bitwiseOR(F.hash(h, g, t).cast("long").bitwiseAND(F.lit(_LOW)))
 
-    found = step.groupBy(*keys).agg(*(F.min(packed(k)).alias(f"m{k}") for k in names))
-    return found.select(*keys, F.array(*(F.col(f"m{k}").bitwiseAND(F.lit(_LOW)) for k in names)).alias("signature"))
+    found = step.groupBy(*keys, "group_").agg(*(F.min(packed(k)).alias(f"m{k}") for k in names))
+    part = F.struct("group_", F.array(*(F.col(f"m{k}").bitwiseAND(F.lit(_LOW)) for k in names)).alias("part"))
+    whole = found.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return whole.select(*keys, F.slice(F.flatten(F.transform("parts", lambda p: p["part"])), 1, samples).alias("signature"))
 
 
 def as_text(signature: Column) -> Column:
@@ -87,8 +103,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """keys and signature of each row; rows of equal keys are one document, so keys should tell rows apart."""
-    return signatures(term_weights(docs, keys, text), keys, samples)
+    """keys and signature of each row; keys should tell rows apart."""
+    terms = docs.select(*keys, F.explode(term_weights(F.col(text))).alias("t")).select(*keys, "t.term", "t.ln_w")
+    return signatures(terms, keys, samples)
 
 
 def neighbour_buckets(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
