@@ -21,9 +21,9 @@ Signatures travel packed, by bucket, one row for each chunk of documents and buc
 that a bucket's rows are few; a signature that a chunk has more than LOCAL times is known
 to be shared, and all but LOCAL of its holders go past the buckets.  Only signatures that
 two classes share are kept.  Classes are then compared with the first holder of each of
-their signatures, in two orders.  Holders of a signature that are still in different
-components are compared if they share one of their rarest elements, so that no link between
-components is lost.  A comparison counts the shared shingles of two whole sets.
+most of their signatures, and with the most central one.  Classes with as many signatures across components
+as a similar partner must share are then compared if they share one of their rarest
+elements, so that no link between components is lost.  A comparison counts the shared shingles of two whole sets.
 
 A null or empty text, or one without words, has an empty set and links with nothing; it is
 a component of its own.  Rows of equal doc_id count as equal documents where their texts
@@ -38,6 +38,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import cached_property
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ from millrace.llm.common import connected_components, stored
 SHINGLE = 5
 #: Cells of a partition, and how many of them may differ.
 N2, K2 = 2, 1
+#: Subsets that one element is in.
+SPOILT = comb(N2 - 1, N2 - K2 - 1)
 #: Partitions beyond those that the bound needs, to make up for empty subsets.
 SLACK = 0.18
 BAND = 1.7
@@ -87,8 +90,12 @@ class Scheme:
         need = self.bound(band) // (K2 + 1) + 1
         return need + np.ceil(need * SLACK).astype(np.int64) + 1
 
-    def sign(self, sizes: np.ndarray, elements: np.ndarray, common_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(set number, signature) of sets given one after another; sizes are at least 1."""
+    def sign(self, sizes: np.ndarray, elements: np.ndarray, common_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set number, signature, tag) of sets given one after another; sizes are at least 1.
+
+        A tag is a kind of signature (level, own band or next) and, times 8, how many
+        signatures of that kind every similar partner shares that meets this set there.
+        """
         owner = np.repeat(np.arange(len(sizes)), sizes)
         own = np.searchsorted(self.starts, sizes, side="right") - 1
         # a larger partner has at most size / least elements
@@ -101,22 +108,27 @@ class Scheme:
                 left = common_[np.minimum(np.searchsorted(common_, elements), len(common_) - 1)] != elements
             if level == 0 or len(sets):
                 # number the (set, band) pairs, and take each pair's elements
-                rows, values, bad = [], [], []
+                rows, values, tags, bad = [], [], [], []
                 for of_band in (0, 1):
                     mine = np.flatnonzero((bands == own[sets]) if of_band == 0 else (bands != own[sets]))
                     number = np.full(len(sizes), -1, np.int64)
                     number[sets[mine]] = np.arange(len(mine))
                     chosen = left & (number[owner] >= 0)
                     r, v, b = self._by_partitions(number[owner[chosen]], elements[chosen], len(mine), bands[mine], level)
+                    size = sizes[sets[mine]]
+                    total = size + size * self.least.denominator // self.least.numerator
+                    differ = np.minimum(self.bound(bands[mine]), total * (self.least.denominator - self.least.numerator) // (self.least.denominator + self.least.numerator))
+                    need = np.maximum(1, np.bincount(r, minlength=len(mine)) - differ * SPOILT)
                     rows.append(sets[mine][r])
                     values.append(v)
+                    tags.append(np.minimum(need[r], 4000) * 8 + level * 2 + of_band)
                     bad.append(mine[b])
-                found.append((np.concatenate(rows), np.concatenate(values)))
+                found.append((np.concatenate(rows), np.concatenate(values), np.concatenate(tags)))
                 again = np.sort(np.concatenate(bad))
                 sets, bands = sets[again], bands[again]
         if len(sets):
             found.append(self._by_prefix(sizes, elements, np.unique(sets)))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        return tuple(np.concatenate([f[j] for f in found]) for j in range(3))
 
     def _by_partitions(self, owner, elements, sets, band, level):
         n1, need = self.partitions(band), self.bound(band) // (K2 + 1) + 1
@@ -159,7 +171,8 @@ class Scheme:
             own = np.sort(elements[at[k] : at[k + 1]])[:prefix]
             rows.append(np.full(len(own), k))
             values.append(common.mix64(own + common.seeds(43, 1)[0]))
-        return np.concatenate(rows), np.concatenate(values)
+        rows = np.concatenate(rows)
+        return rows, np.concatenate(values), np.full(len(rows), 8 + 4)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -207,34 +220,47 @@ def sets_of(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
 
 
 def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray, text: str = "text", k: int = SHINGLE, scheme: Scheme | None = None) -> DataFrame:
-    """signature, key: the classes that hold each signature that more than one class holds."""
+    """signature, key, tag: the classes that hold each signature that more than one class holds."""
     scheme = scheme or Scheme()
     common.small_batches(docs.sparkSession)
 
     shingles = docs.sparkSession.sparkContext.broadcast(np.sort(common_shingles))
 
-    def packed(rows: np.ndarray, values: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    def packed(rows: np.ndarray, values: np.ndarray, tags: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket: signatures (six bytes each), holders by place, tags, and the holders' keys."""
         order = np.argsort(values, kind="stable")
-        value, key = values[order], keys[rows[order]]
+        value, row, tag = values[order], rows[order], tags[order]
         start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(value)))
         place = np.arange(len(value)) - np.repeat(start, length)
         frequent = np.repeat(length > LOCAL, length)
-        through = place < LOCAL
-        out: dict[str, list] = {"bucket": [], "known": [], "signatures": [], "keys": []}
-        for known, chosen in ((0, through), (1, frequent)):
-            # A holder of a frequent signature goes past the run search; its first LOCAL go both ways.
-            v, c = value[chosen], key[chosen]
-            bucket = (v >> np.uint64(40)).astype(np.int64) % buckets
-            by = np.argsort(bucket, kind="stable")
-            v, c, bucket = v[by], c[by], bucket[by]
+        out: dict[str, list] = {"bucket": [], "known": [], "signatures": [], "places": [], "tags": [], "keys": []}
+        for known, chosen in ((0, place < LOCAL), (1, frequent)):
+            # Holders of a frequent signature go past the run search; its first LOCAL go both ways.
+            v, c, t = value[chosen], row[chosen], tag[chosen]
+            bucket = (v >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            by = np.lexsort((c, bucket))
+            v, c, t, bucket = v[by], c[by], t[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(v) else np.zeros(0, np.int64)
             for a, b in zip(cut, np.append(cut, len(v))[1:], strict=True):
+                held, at = np.unique(c[a:b], return_inverse=True)
                 out["bucket"].append(int(bucket[a]))
                 out["known"].append(known)
-                out["signatures"].append(v[a:b].tobytes())
-                out["keys"].append(c[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["known"], pa.int32()), pa.array(out["signatures"], pa.binary()), pa.array(out["keys"], pa.binary())], names=list(out))
+                out["signatures"].append(v[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                out["places"].append(at.astype(np.uint16 if len(held) <= 1 << 16 else np.uint32).tobytes())
+                out["tags"].append(t[a:b].astype(np.uint16).tobytes())
+                out["keys"].append(keys[held].tobytes())
+        kinds = {"bucket": pa.int64(), "known": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(x, kinds.get(n, pa.binary())) for n, x in out.items()], names=list(out))
+
+    def unpacked(batch: pa.RecordBatch, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = lambda k, kind: np.frombuffer(batch.column(k)[j].as_buffer(), kind)
+        short = column(2, np.uint8).reshape(-1, 6)
+        value = np.zeros((len(short), 8), np.uint8)
+        value[:, :6] = short
+        value = value.view(np.uint64).ravel() + (np.uint64(batch.column(0)[j].as_py()) << np.uint64(48))
+        keys = column(5, np.int64)
+        return value, keys[column(3, np.uint16 if len(keys) <= 1 << 16 else np.uint32)], column(4, np.uint16)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -245,11 +271,11 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int64)
             own = np.array(keys, np.int64)
-            parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for a, b in common.byte_slices(np.concatenate([[0], np.cumsum(sizes)]), 400_000):
-                rows, values = scheme.sign(sizes[a:b], np.concatenate(sets[a:b]), shingles.value)
-                parts.append((rows + a, values))
-            return packed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), own)
+                rows, values, tags = scheme.sign(sizes[a:b], np.concatenate(sets[a:b]), shingles.value)
+                parts.append((rows + a, values, tags))
+            return packed(*(np.concatenate([p[j] for p in parts]) for j in range(3)), own)
 
         for batch in batches:
             for _, found in common.text_shingles(batch.column(0), k):
@@ -268,39 +294,37 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shared(v: list[np.ndarray], c: list[np.ndarray]) -> pa.RecordBatch:
-            value, key = np.concatenate(v), np.concatenate(c)
-            order = np.lexsort((key, value))
-            value, key = value[order], key[order]
+        def rows(value: np.ndarray, key: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(_signed(value)), pa.array(key), pa.array(tag.astype(np.int32))], names=["signature", "key", "tag"])
+
+        def shared(parts: list) -> pa.RecordBatch:
+            value, key, tag = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            order = np.lexsort((tag, key, value))
+            value, key, tag = value[order], key[order], tag[order]
             fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (key[1:] != key[:-1])])
-            value, key = value[fresh], key[fresh]
+            value, key, tag = value[fresh], key[fresh], tag[fresh]
             start = np.concatenate([[True], value[1:] != value[:-1]])
             alone = start & np.concatenate([start[1:], [True]])
-            return rows(value[~alone], key[~alone])
-
-        def rows(value: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(_signed(value)), pa.array(key)], names=["signature", "key"])
+            return rows(value[~alone], key[~alone], tag[~alone])
 
-        at, v, c = None, [], []
+        at, parts = None, []
         for batch in batches:
-            bucket, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for j in range(batch.num_rows):
-                value, key = np.frombuffer(batch.column(2)[j].as_buffer(), np.uint64), np.frombuffer(batch.column(3)[j].as_buffer(), np.int64)
-                if known[j]:
-                    yield rows(value, key)
+                part = unpacked(batch, j)
+                if batch.column(1)[j].as_py():
+                    yield rows(*part)
                     continue
-                if bucket[j] != at and v:
-                    yield shared(v, c)
-                    v, c = [], []
-                at = bucket[j]
-                v.append(value)
-                c.append(key)
-        if v:
-            yield shared(v, c)
-
-    chunks = docs.select(text).mapInArrow(sign, "bucket long, known int, signatures binary, keys binary")
+                if batch.column(0)[j].as_py() != at and parts:
+                    yield shared(parts)
+                    parts = []
+                at = batch.column(0)[j].as_py()
+                parts.append(part)
+        if parts:
+            yield shared(parts)
+
+    chunks = docs.select(text).mapInArrow(sign, "bucket long, known int, signatures binary, places binary, tags binary, keys binary")
     dealt = chunks.repartition(max(1, min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4))), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "signature long, key long").distinct()
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "signature long, key long, tag int").groupBy("signature", "key").agg(F.min("tag").alias("tag"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -313,6 +337,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return met.where(close).select("a", "b")
 
 
+def _promising(held: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Rows of held (signature, cls, tag) that may bring a link between different components.
+
+    A signature counts if its holders are in more than one component (each class is one
+    where none are given); a class stays with its signatures of one kind if as many of them
+    count as every similar partner shares.
+    """
+    if component is None:
+        placed = held.withColumn("component", F.col("cls"))
+    else:
+        placed = held.join(component.withColumnRenamed("node", "cls"), "cls", "left").select("signature", "cls", "tag", F.coalesce("component", "cls").alias("component"))
+    placed = stored(placed)
+    mixed = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
+    kept = stored(placed.join(mixed, "signature").select("signature", "cls", "tag"))
+    enough = kept.groupBy("cls", "tag").count().where("count * 8 >= tag - tag % 8").select("cls", "tag")
+    return stored(kept.join(enough, ["cls", "tag"]).select("signature", "cls", "tag"))
+
+
 def _across(sets: DataFrame, least: Fraction) -> DataFrame:
     """Pairs (a, b) of classes in different components that may be similar, by elements they share.
 
@@ -349,14 +391,15 @@ def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least:
     often = counted.where("n_shingles = -1").groupBy("key").agg(F.sum("key2").alias("sets")).orderBy(F.desc("sets"), "key").limit(MOST_COMMON)
     shingles = np.array([r.key for r in often.collect()], np.int64).view(np.uint64)
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, int(total * 0.6 / BUCKET_SIGNATURES) + 1)
+    buckets = min(1 << 16, int(total * 0.6 / BUCKET_SIGNATURES) + 1)
     # A class is numbered by its smallest document, nulls first; empty sets are in no class.
     number = F.coalesce(F.min("doc_id"), F.lit(-(1 << 63)))
     has_null = F.max(F.col("doc_id").isNull().cast("int"))
     classes = stored(
         members.where("n_shingles > 0").groupBy("key", "key2").agg(F.when(has_null == 1, F.lit(-(1 << 63))).otherwise(number).alias("doc"), F.max("n_shingles").alias("n")).withColumn("cls", F.xxhash64("key", "key2"))
     )
-    held = stored(shared_signatures(docs, buckets, shingles, text, k, scheme).join(classes.select("key", "cls"), "key").select("signature", "cls"))
+    held = shared_signatures(docs, buckets, shingles, text, k, scheme).join(classes.select("key", "cls"), "key").select("signature", "cls", "tag")
+    held = _promising(_promising(stored(held), None), None)
     needed = held.select("cls").distinct()
 
     # The whole sets of the classes that hold a shared signature, from one document of each.
@@ -380,18 +423,24 @@ def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least:
     sets = stored(texts.mapInArrow(whole, "cls long, elements array<long>").dropDuplicates(["cls"]))
     low, high = F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")
 
-    # Each class with the first holder of each of its signatures, in two orders of the classes.
-    firsts = held.groupBy("signature").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
-    star = held.join(firsts, "signature").select("cls", F.explode(F.array("first", "last")).alias("other")).where("cls <> other").select(low, high).distinct()
-    links = stored(_verified(star, sets, least))
-    tried = stored(star)
-
-    # What is left: holders of one signature that are in different components so far.
+    # Each class with a holder that it shares most signatures with, of each signature's
+    # first holder and of the one whose signatures have most holders, the centre of its copies.
+    sizes = held.groupBy("signature").agg(F.count(F.lit(1)).alias("holders"))
+    popular = held.join(sizes, "signature").groupBy("cls").agg(F.sum("holders").alias("weight"))
+    firsts = held.join(popular, "cls").groupBy("signature").agg(F.min("cls").alias("first"), F.max_by("cls", F.struct("weight", "cls")).alias("centre"))
+    led = stored(held.join(firsts, "signature").select("cls", "first", "centre"))
+    star = None
+    for other in ("first", "centre"):
+        most = led.where(F.col("cls") != F.col(other)).groupBy("cls", other).count().groupBy("cls").agg(F.max_by(other, "count").alias("other"))
+        star = most if star is None else star.union(most)
+    tried = stored(star.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct())
+    links = stored(_verified(tried, sets, least))
+
+    # What is left: holders of signatures that are in different components so far.
     component = connected_components(links)
-    placed = stored(held.join(component.withColumnRenamed("node", "cls"), "cls", "left").select("signature", "cls", F.coalesce("component", "cls").alias("component")))
-    mixed = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
-    rest = placed.join(mixed, "signature").select("cls", "component").distinct()
-    pairs = _across(stored(rest.join(sets, "cls")), least).join(tried, ["a", "b"], "left_anti")
+    rest = _promising(held, component).select("cls").distinct()
+    placed = rest.join(component.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
+    pairs = _across(stored(placed.join(sets, "cls")), least).join(tried, ["a", "b"], "left_anti")
     links = stored(links.union(_verified(pairs, sets, least)))
 
     component = connected_components(links)
