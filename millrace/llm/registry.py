@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, fingerprint, jaccard, linededup, mixing, quality, tokencount
+from millrace.llm import ann, bpe, chat, fingerprint, jaccard, linededup, mixing, quality, tokencount
 from millrace.llm.common import stored, table
 
 #: The vocabulary of the encoder; where its package is missing, name the file here.
@@ -73,6 +73,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every row whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram of encoded lengths of all documents with its suffix sums."""
     docs = table(spark, sf_dir, "documents")
@@ -92,6 +97,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
+QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_nearest": op7_nearest, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 ORACLES = {"op3_lines": linededup.SQL, "op5_chat": chat.digest_sql()}
