@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, chat, fingerprint, jaccard, linededup, mixing, quality, tokencount
+from millrace.llm import ann, bpe, chat, fingerprint, jaccard, linededup, mixing, passages, quality, tokencount
 from millrace.llm.common import stored, table
 
 #: The vocabulary of the encoder; where its package is missing, name the file here.
@@ -18,6 +18,11 @@ except ModuleNotFoundError:
     BYTE_PATTERN = r"\S+|\s+"
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that documents share."""
+    return passages.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of each document, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,6 +102,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_nearest": op7_nearest, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
+QUERIES = {"op1_passages": op1_passages, "op2_bpe": op2_bpe, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_chat": op5_chat, "op6_fingerprints": op6_fingerprints, "op7_nearest": op7_nearest, "op8_token_counts": op8_token_counts, "op9_mix": op9_mix, "op10_quality": op10_quality}
 
 ORACLES = {"op3_lines": linededup.SQL, "op5_chat": chat.digest_sql()}
