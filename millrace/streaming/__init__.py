@@ -1,0 +1 @@
+"""Nothing yet: the query surface that this library covers has no streaming operators."""
