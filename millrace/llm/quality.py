@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 DIM = 16
 GRAMS = (2, 3, 4)
 #: Labelled documents of each label that the model is trained on, at most.
-SAMPLE = 2_500
+SAMPLE = 1_500
 EPOCHS = 6
 RATE = 0.5
 #: A document's gradient is spread over thousands of features; this much larger are their steps.
@@ -101,7 +101,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
     column = pa.array(texts, pa.large_string())
     data, offsets = common.text_buffers(column)
     bags = []
-    for a, b in common.byte_slices(offsets):
+    for a, b in common.byte_slices(offsets, 300_000):  # small ones, as the driver has little memory
         value, at = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for k in range(b - a):
             ids, counts = np.unique(value[at[k] : at[k + 1]], return_counts=True)
@@ -146,7 +146,9 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     spark = docs.sparkSession
     common.small_batches(spark)
     rows = sorted(sample(docs, labels, label, most).collect(), key=lambda r: (r.doc_id, r.label_, r.text or ""))
-    table, bias = train([r.text for r in rows], [r.label_ for r in rows])
+    texts, known = [r.text for r in rows], [r.label_ for r in rows]
+    del rows
+    table, bias = train(texts, known)
     model = spark.sparkContext.broadcast((table, bias))
     base = docs.select(*(c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")), held_out(F.col("doc_id")).alias("held_out"))
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
