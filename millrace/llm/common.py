@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from pathlib import Path
 
@@ -51,6 +53,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of plans that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may not happen for long.
+    """
+    for _ in range(2):  # listeners may still hold the last plan the first time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 # ------------------------------------------------------------------ hashing
 
 _MASK = (1 << 64) - 1

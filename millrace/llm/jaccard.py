@@ -20,10 +20,13 @@ sets share one.
 Signatures travel packed, by bucket, one row for each chunk of documents and bucket, so
 that a bucket's rows are few; a signature that a chunk has more than LOCAL times is known
 to be shared, and all but LOCAL of its holders go past the buckets.  Only signatures that
-two classes share are kept.  Classes are then compared with the first holder of each of
-most of their signatures, and with the most central one.  Classes with as many signatures across components
-as a similar partner must share are then compared if they share one of their rarest
-elements, so that no link between components is lost.  A comparison counts the shared shingles of two whole sets.
+two classes share are kept, and only of classes that share as many as every similar partner
+would.  Such a class is compared with the most central holder of most of its signatures.
+Classes that still share signatures across components are then compared if they share one
+of their first elements, common ones last, so that no link between components is lost.  A
+comparison counts the shared shingles of two whole sets.
+
+Shingles and sets are known by hashes of 64 bits.
 
 A null or empty text, or one without words, has an empty set and links with nothing; it is
 a component of its own.  Rows of equal doc_id count as equal documents where their texts
@@ -42,7 +45,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -58,7 +61,7 @@ SLACK = 0.18
 BAND = 1.7
 #: Signatures of a chunk of documents, and in a bucket.
 CHUNK_SIGNATURES = 1_500_000
-BUCKET_SIGNATURES = 400_000
+BUCKET_SIGNATURES = 1_500_000
 LOCAL = 4
 #: A shingle is common if this share of a chunk's sets has it, and COMMON_SETS of them;
 #: the MOST_COMMON of these go to all executors.  Which are taken changes no result.
@@ -227,18 +230,17 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
     shingles = docs.sparkSession.sparkContext.broadcast(np.sort(common_shingles))
 
     def packed(rows: np.ndarray, values: np.ndarray, tags: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        """A row for each bucket: signatures (six bytes each), holders by place, tags, and the holders' keys."""
+        """A row for each bucket: signatures (five bytes each), holders by place, tags, and the holders' keys."""
         order = np.argsort(values, kind="stable")
         value, row, tag = values[order], rows[order], tags[order]
         start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(value)))
         place = np.arange(len(value)) - np.repeat(start, length)
-        frequent = np.repeat(length > LOCAL, length)
         out: dict[str, list] = {"bucket": [], "known": [], "signatures": [], "places": [], "tags": [], "keys": []}
-        for known, chosen in ((0, place < LOCAL), (1, frequent)):
-            # Holders of a frequent signature go past the run search; its first LOCAL go both ways.
+        for known, chosen in ((0, place < LOCAL), (1, place >= LOCAL)):
+            # Of a signature's holders in a chunk all but LOCAL go past the run search.
             v, c, t = value[chosen], row[chosen], tag[chosen]
-            bucket = (v >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            bucket = ((v >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             by = np.lexsort((c, bucket))
             v, c, t, bucket = v[by], c[by], t[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(v) else np.zeros(0, np.int64)
@@ -246,7 +248,7 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
                 held, at = np.unique(c[a:b], return_inverse=True)
                 out["bucket"].append(int(bucket[a]))
                 out["known"].append(known)
-                out["signatures"].append(v[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                out["signatures"].append(v[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 out["places"].append(at.astype(np.uint16 if len(held) <= 1 << 16 else np.uint32).tobytes())
                 out["tags"].append(t[a:b].astype(np.uint16).tobytes())
                 out["keys"].append(keys[held].tobytes())
@@ -255,10 +257,10 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
 
     def unpacked(batch: pa.RecordBatch, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         column = lambda k, kind: np.frombuffer(batch.column(k)[j].as_buffer(), kind)
-        short = column(2, np.uint8).reshape(-1, 6)
+        short = column(2, np.uint8).reshape(-1, 5)
         value = np.zeros((len(short), 8), np.uint8)
-        value[:, :6] = short
-        value = value.view(np.uint64).ravel() + (np.uint64(batch.column(0)[j].as_py()) << np.uint64(48))
+        value[:, :5] = short
+        value = value.view(np.uint64).ravel() + (np.uint64(batch.column(0)[j].as_py()) << np.uint64(40))
         keys = column(5, np.int64)
         return value, keys[column(3, np.uint16 if len(keys) <= 1 << 16 else np.uint32)], column(4, np.uint16)
 
@@ -324,55 +326,101 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
 
     chunks = docs.select(text).mapInArrow(sign, "bucket long, known int, signatures binary, places binary, tags binary, keys binary")
     dealt = chunks.repartition(max(1, min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4))), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "signature long, key long, tag int").groupBy("signature", "key").agg(F.min("tag").alias("tag"))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "signature long, key long, tag int")
+
+
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """Bits of twice as many cells as elements or more: whether a cell has an odd number of them."""
+    bits = max(256, 1 << int(2 * len(elements)).bit_length())
+    odd = np.bincount((common.mix64(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """In how many elements two sets differ at least, by their sketches; the longer one is folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
+    """The pairs (a, b) of classes whose sets are similar.
+
+    Sketches drop those that differ in too many elements for certain; whole sets decide.
+    """
+    up, down = least.numerator, least.denominator
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = (down - up) * total // (down + up)
+            x, y = batch.column(4), batch.column(5)
+            keep = [least_difference(x[j].as_py(), y[j].as_py()) <= most[j] for j in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c, n, s: sets.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
+    near = pairs.join(side("a", "m", "s"), "a").join(side("b", "n", "t"), "b").select("a", "b", "m", "n", "s", "t")
+    near = stored(near.mapInArrow(possible, "a long, b long").distinct())
     left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = near.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("x", "y"))
-    close = both * least.denominator >= (F.size("x") + F.size("y") - both) * least.numerator
-    return met.where(close).select("a", "b")
+    return met.where(both * down >= (F.size("x") + F.size("y") - both) * up).select("a", "b").distinct()
+
+
+def _enough(held: DataFrame) -> DataFrame:
+    """Rows of classes that have as many signatures of a kind as every similar partner shares."""
+    kind = Window.partitionBy("cls", "tag")
+    return held.withColumn("n_", F.count(F.lit(1)).over(kind)).where("n_ * 8 >= tag - tag % 8").drop("n_")
 
 
-def _promising(held: DataFrame, component: DataFrame | None) -> DataFrame:
+def _promising(held: DataFrame, component: DataFrame | None = None) -> DataFrame:
     """Rows of held (signature, cls, tag) that may bring a link between different components.
 
     A signature counts if its holders are in more than one component (each class is one
-    where none are given); a class stays with its signatures of one kind if as many of them
-    count as every similar partner shares.
+    where none are given).
     """
-    if component is None:
-        placed = held.withColumn("component", F.col("cls"))
-    else:
+    placed = held.withColumn("component", F.col("cls"))
+    if component is not None:
         placed = held.join(component.withColumnRenamed("node", "cls"), "cls", "left").select("signature", "cls", "tag", F.coalesce("component", "cls").alias("component"))
-    placed = stored(placed)
     mixed = placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("signature")
-    kept = stored(placed.join(mixed, "signature").select("signature", "cls", "tag"))
-    enough = kept.groupBy("cls", "tag").count().where("count * 8 >= tag - tag % 8").select("cls", "tag")
-    return stored(kept.join(enough, ["cls", "tag"]).select("signature", "cls", "tag"))
+    return _enough(placed.join(mixed, "signature").select("signature", "cls", "tag"))
 
 
-def _across(sets: DataFrame, least: Fraction) -> DataFrame:
+def _across(sets: DataFrame, often: np.ndarray, least: Fraction) -> DataFrame:
     """Pairs (a, b) of classes in different components that may be similar, by elements they share.
 
-    A set's elements are ordered from rare to frequent among these sets.  Where the first
-    element that two similar sets share is at places i and j, both still have as many
-    elements from there as the sets must share; a join on elements with that condition
-    finds every pair and next to no other, however large a group of copies is.
+    A set's elements are ordered by hash, those in `often` (from rare to frequent) last.
+    Where the first element that two similar sets share is at places i and j, both still
+    have as many elements from there as the sets must share; a join on elements with that
+    condition finds every pair and next to no other, however large a group of copies is.
     """
     up, down = least.numerator, least.denominator
-    spread = sets.select("cls", F.explode("elements").alias("element"))
-    often = spread.groupBy("element").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    ordered = spread.join(often, "element").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("sets", "element"))).alias("others"))
-    # Elements of one set alone come first; they are at no other set's places.
-    n, alone = F.size("elements"), F.size("elements") - F.size("others")
-    prefix = n - F.ceil(n * up / down).cast("int") + 1
-    front = F.slice("others", F.lit(1), F.greatest(prefix - alone, F.lit(0)))
-    tokens = sets.join(ordered, "cls").select("cls", "component", n.alias("n"), alone.alias("alone"), F.posexplode(front).alias("at", "o"))
-    tokens = stored(tokens.select("cls", "component", F.col("n").cast("long").alias("n"), (F.col("alone") + F.col("at")).alias("place"), F.col("o.element").alias("element")))
+    by_value = np.argsort(often)
+    spark = sets.sparkSession
+    known = spark.sparkContext.broadcast((often[by_value], by_value + 1))
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, rank = known.value
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for j in range(batch.num_rows):
+                own = np.sort(batch.column(2)[j].values.to_numpy())
+                n = len(own)
+                if len(value):
+                    at = np.minimum(np.searchsorted(value, own), len(value) - 1)
+                    own = own[np.argsort(np.where(value[at] == own, rank[at], 0), kind="stable")]
+                own = own[: n - -(-n * up // down) + 1]
+                for column, x in zip(out, (batch.column(0)[j].as_py(), batch.column(1)[j].as_py(), n), strict=False):
+                    column.append(np.full(len(own), x))
+                out[3].append(np.arange(len(own)))
+                out[4].append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in out], names=["cls", "component", "n", "place", "element"])
+
+    tokens = stored(sets.select("cls", "component", "elements").mapInArrow(fronts, "cls long, component long, n long, place long, element long"))
     met = tokens.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element")
     tokens = stored(tokens.join(met, "element"))
     x, y = tokens.alias("x"), tokens.alias("y")
@@ -391,56 +439,60 @@ def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least:
     often = counted.where("n_shingles = -1").groupBy("key").agg(F.sum("key2").alias("sets")).orderBy(F.desc("sets"), "key").limit(MOST_COMMON)
     shingles = np.array([r.key for r in often.collect()], np.int64).view(np.uint64)
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = min(1 << 16, int(total * 0.6 / BUCKET_SIGNATURES) + 1)
+    buckets = min(1 << 23, int(total * 0.7 / BUCKET_SIGNATURES) + 1)
     # A class is numbered by its smallest document, nulls first; empty sets are in no class.
     number = F.coalesce(F.min("doc_id"), F.lit(-(1 << 63)))
     has_null = F.max(F.col("doc_id").isNull().cast("int"))
-    classes = stored(
-        members.where("n_shingles > 0").groupBy("key", "key2").agg(F.when(has_null == 1, F.lit(-(1 << 63))).otherwise(number).alias("doc"), F.max("n_shingles").alias("n")).withColumn("cls", F.xxhash64("key", "key2"))
-    )
-    held = shared_signatures(docs, buckets, shingles, text, k, scheme).join(classes.select("key", "cls"), "key").select("signature", "cls", "tag")
-    held = _promising(_promising(stored(held), None), None)
+    doc = F.when(has_null == 1, F.lit(-(1 << 63))).otherwise(number).alias("doc")
+    classes = stored(members.where("n_shingles > 0").groupBy("key", "key2").agg(doc).withColumn("cls", F.col("key")))
+    held = stored(shared_signatures(docs, buckets, shingles, text, k, scheme).withColumnRenamed("key", "cls"))
+    common.release(docs.sparkSession)
+    held = stored(_promising(_enough(held)))
     needed = held.select("cls").distinct()
 
     # The whole sets of the classes that hold a shared signature, from one document of each.
     chosen = classes.join(needed, "cls").select("cls", "key", "key2", "doc")
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), text).join(chosen.select("doc", "key", "key2", "cls"), "doc").select("cls", "key", "key2", text)
+    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), text).join(chosen.select("doc", "key", "key2", "cls"), "doc")
+    same_text = Window.partitionBy("doc", "cls", F.xxhash64(text)).orderBy("cls")
+    texts = texts.withColumn("copy", F.row_number().over(same_text)).where("copy = 1").select("cls", "key", "key2", text)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, key, key2 = (batch.column(j).to_pylist() for j in range(3))
             for part in range(0, batch.num_rows, 200):
-                own, sets = [], []
+                own, sets, sketches = [], [], []
                 for row, found in common.text_shingles(batch.column(3).slice(part, 200), k):
                     # a document id may stand for several texts
                     if set_keys(found) == (key[part + row], key2[part + row]):
                         own.append(cls[part + row])
                         sets.append(_signed(found))
+                        sketches.append(parity_sketch(found))
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["cls", "elements"])
+                columns = [pa.array(own, pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "sketch", "elements"])
 
-    sets = stored(texts.mapInArrow(whole, "cls long, elements array<long>").dropDuplicates(["cls"]))
+    sets = stored(texts.mapInArrow(whole, "cls long, n long, sketch binary, elements array<long>"))
+    common.release(docs.sparkSession)
     low, high = F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")
 
-    # Each class with a holder that it shares most signatures with, of each signature's
-    # first holder and of the one whose signatures have most holders, the centre of its copies.
+    # Each class with the holder that leads most of its signatures: the one whose own
+    # signatures have most holders, which is the centre of its copies.
     sizes = held.groupBy("signature").agg(F.count(F.lit(1)).alias("holders"))
     popular = held.join(sizes, "signature").groupBy("cls").agg(F.sum("holders").alias("weight"))
-    firsts = held.join(popular, "cls").groupBy("signature").agg(F.min("cls").alias("first"), F.max_by("cls", F.struct("weight", "cls")).alias("centre"))
-    led = stored(held.join(firsts, "signature").select("cls", "first", "centre"))
-    star = None
-    for other in ("first", "centre"):
-        most = led.where(F.col("cls") != F.col(other)).groupBy("cls", other).count().groupBy("cls").agg(F.max_by(other, "count").alias("other"))
-        star = most if star is None else star.union(most)
+    centres = held.join(popular, "cls").groupBy("signature").agg(F.max_by("cls", F.struct("weight", "cls")).alias("other"))
+    led = held.join(centres, "signature").where("cls <> other").groupBy("cls", "other").count()
+    star = led.groupBy("cls").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
     tried = stored(star.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct())
+    common.release(docs.sparkSession)
     links = stored(_verified(tried, sets, least))
+    common.release(docs.sparkSession)
 
     # What is left: holders of signatures that are in different components so far.
     component = connected_components(links)
     rest = _promising(held, component).select("cls").distinct()
     placed = rest.join(component.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
-    pairs = _across(stored(placed.join(sets, "cls")), least).join(tried, ["a", "b"], "left_anti")
+    pairs = _across(placed.join(sets, "cls"), shingles[::-1].view(np.int64), least).join(tried, ["a", "b"], "left_anti")
     links = stored(links.union(_verified(pairs, sets, least)))
 
     component = connected_components(links)

@@ -112,6 +112,16 @@ def test_shingle_hashes_follow_the_definition():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(1, 1 << 62, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(1, 1 << 62, int(rng.integers(0, 200))).astype(np.uint64)]))
+        if len(b):
+            low, true = jaccard.least_difference(jaccard.parity_sketch(a), jaccard.parity_sketch(b)), len(np.setxor1d(a, b))
+            assert low <= true
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 150), (777, 777), (300, 301), (301, 300)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
