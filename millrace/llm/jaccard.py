@@ -65,8 +65,8 @@ BUCKET_SIGNATURES = 1_500_000
 LOCAL = 4
 #: A shingle is common if this share of a chunk's sets has it, and COMMON_SETS of them;
 #: the MOST_COMMON of these go to all executors.  Which are taken changes no result.
-COMMON = 0.02
-COMMON_SETS = 12
+COMMON = 0.002
+COMMON_SETS = 4
 MOST_COMMON = 20_000
 
 
