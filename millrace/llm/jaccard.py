@@ -60,7 +60,7 @@ SPOILT = comb(N2 - 1, N2 - K2 - 1)
 SLACK = 0.18
 BAND = 1.7
 #: Signatures of a chunk of documents, and in a bucket.
-CHUNK_SIGNATURES = 1_500_000
+CHUNK_SIGNATURES = 800_000
 BUCKET_SIGNATURES = 1_500_000
 LOCAL = 4
 #: A shingle is common if this share of a chunk's sets has it, and COMMON_SETS of them;
