@@ -2,8 +2,10 @@
 
 Vectors are scaled to length one and rotated at random, so that the first dimensions of any
 vector are a fair sample of all.  k-means centroids, fitted on the SAMPLE vectors of
-smallest hashed id, cut them into lists; every vector is indexed.  A query probes the PROBES
-nearest lists.  Within a list vectors lie in blocks of columns; after each few columns the
+smallest hashed id, cut them into lists; every vector is indexed.  How many of the nearest
+lists a query probes is measured on the table: for TRIALS of its queries the nearest of all
+vectors are found by brute force, and so many lists are probed as hold the share WITHIN of
+those, FEWEST at least.  Within a list vectors lie in blocks of columns; after each few columns the
 squared distance so far, scaled up to all columns, is tested against the distance of the
 best so far, and a vector abandons the scan once it is farther with a confidence set by EPSILON.
 What survives all columns gets its exact cosine in double precision from the original
@@ -32,7 +34,9 @@ from millrace.llm.common import release, small_batches, stored
 SAMPLE = 20_000
 ROWS_IN_LIST = 400
 MOST_LISTS = 4_096
-PROBES = 0.25
+TRIALS = 256
+WITHIN = 0.98
+FEWEST = 8
 BLOCK_ROWS = 8_192
 STEP = 16
 EPSILON = 2.1
@@ -96,6 +100,39 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
+def probes_for(placed: DataFrame, k: int, dims: int, centres: np.ndarray, turn: np.ndarray) -> int:
+    """How many lists, nearest first, hold the share WITHIN of the k nearest vectors of TRIALS queries."""
+    lists = len(centres)
+    tried = placed.where("query").orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(TRIALS).select("v").toPandas()
+    if lists <= FEWEST or not len(tried):
+        return lists
+    asked = unit(np.array(tried["v"].tolist())) @ turn
+    model = placed.sparkSession.sparkContext.broadcast((turn, asked))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, asked = model.value
+        score, where = np.full((len(asked), k + 1), -2.0), np.full((len(asked), k + 1), -1)
+        for batch in batches:
+            if batch.num_rows:
+                held = unit(batch.column(0).flatten().to_numpy().reshape(-1, dims)) @ turn
+                score = np.concatenate([score, asked @ held.T], axis=1)
+                where = np.concatenate([where, np.broadcast_to(batch.column(1).to_numpy(), (len(asked), len(held)))], axis=1)
+                top = np.argpartition(-score, k, axis=1)[:, : k + 1]
+                score, where = np.take_along_axis(score, top, 1), np.take_along_axis(where, top, 1)
+        row = np.repeat(np.arange(len(asked)), k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score.ravel()), pa.array(where.ravel())], names=["row", "score", "list"])
+
+    place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "list"))
+    found = placed.select("v", "list").mapInArrow(best, "row long, score double, list long").where("list >= 0").withColumn("place", place)
+    # the first is the query itself
+    found = found.where(F.col("place").between(2, k + 1)).select("row", "list").toPandas()
+    if not len(found):
+        return lists
+    rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(rank[found["row"].to_numpy(), found["list"].to_numpy()]) + 1
+    return min(lists, max(FEWEST, int(needed[int(np.ceil(WITHIN * len(needed))) - 1])))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key, score: the k nearest rows found for each query row but itself."""
     spark = vectors.sparkSession
@@ -121,7 +158,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     turn = rotation(dims)
     centres = kmeans(unit(np.array(sample["v"].tolist())) @ turn, lists)
     lists = len(centres)
-    probes = min(lists, max(8, int(np.ceil(lists * PROBES)))) if lists <= 256 else min(lists, 64 + lists // 64)
     model = spark.sparkContext.broadcast((turn, centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(turned @ centres.T, axis=1).astype(np.int32))], names=["id", "v", "point", "query", "list"])
 
     placed = stored(heads.mapInArrow(assign, "id long, v array<double>, point string, query boolean, list int"))
+    probes = probes_for(placed, k, dims, centres, turn)
     sizes = {r.list: r["count"] for r in placed.groupBy("list").count().collect()}
     blocks = np.array([-(-sizes.get(x, 0) // BLOCK_ROWS) for x in range(lists)], np.int32)
     index = placed.select("list", F.pmod(F.xxhash64("id", "point"), F.greatest(F.get(F.lit(blocks), "list"), F.lit(1)).cast("long")).cast("int").alias("block"), "id", "v", "point")

@@ -33,6 +33,20 @@ def test_recall(spark, sf):
     assert hits / (5 * len(want)) >= 0.95
 
 
+def test_recall_over_many_lists(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12_000, 64)).astype(np.float32)  # 30 lists
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert len(rows) // ann.ROWS_IN_LIST == 30
+    got = {}
+    for r in registry.op7_nearest(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(np.arange(len(x)), x.astype(float))
+    assert set(got) == set(want)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) for q in want]) / 5 >= 0.95
+
+
 def test_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ann, "ROWS_IN_LIST", 20)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 30)
