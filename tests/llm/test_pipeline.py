@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -51,3 +52,10 @@ def test_stages_take_odd_rows(spark):
     lines = pipeline.drop_repeated_lines(spark, docs, SF).collect()
     assert len(lines) >= 6 and linededup.LEAST_LINES == 2
     assert pipeline.encode(spark, docs, SF).count() == len(odd)
+
+
+def test_last_stage_decodes(spark):
+    tokenizers = __import__("tokenizers").Tokenizer.from_file(registry.WORD_BPE)
+    docs = spark.createDataFrame([(1, "some plain words", "a"), (2, "", "a")], "doc_id long, text string, source string")
+    for r in pipeline.encode(spark, docs, SF).collect():
+        assert r.decoded_sha256 == hashlib.sha256(tokenizers.decode(r.ids).encode()).hexdigest()
