@@ -16,6 +16,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -27,11 +28,16 @@ from pyspark.sql import types as T
 
 from millrace.llm import common
 
-#: Runs and words whose encodings a worker keeps; it starts anew when they are more.
-CACHE_RUNS = 500_000
-CACHE_WORDS = 500_000
+#: Bytes that the encodings which a task keeps may take, of runs and of words; it starts anew beyond.
+CACHE_BYTES = 32_000_000
+#: What a kept string and its ids take besides their characters.
+ENTRY_BYTES = 190
+#: Longer runs and words are encoded and not kept.
+LONGEST_KEPT = 64
+#: Words of more letters are merged with a heap; for shorter ones a look at all pairs is faster.
+SHORT = 48
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 _FAR = np.int64(1) << 60
 _NEVER = 1 << 60
 _UNUSUAL_SPACE = regex.compile("[\x1c-\x1f]")
@@ -70,9 +76,8 @@ class WordCodec:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((self.vocab[left], self.vocab[right]), (rank, self.vocab[left + right]))
-        self.kept: dict[str, bytes] = {}
-        self.kept_words: dict[str, bytes] = {}
         self._prepare()
+        self.forget()
 
     # -- exact merging, the slow way
 
@@ -85,18 +90,42 @@ class WordCodec:
         return [*(vocab[c] for c in letters[:-1]), vocab[letters[-1] + self.end]]
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply the pair of lowest rank, the leftmost of equals, until no pair is left."""
-        ids, merges, none = list(ids), self.merges, (_NEVER, 0)
-        ranks = [merges.get(p, none)[0] for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != _NEVER:
-            k = ranks.index(best)
-            ids[k : k + 2] = [merges[ids[k], ids[k + 1]][1]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = merges.get((ids[k - 1], ids[k]), none)[0]
-            if k < len(ranks):
-                ranks[k] = merges.get((ids[k], ids[k + 1]), none)[0]
-        return ids
+        """Apply the pair of lowest rank, the leftmost of equals, until no pair is left.
+
+        In a long word possible merges wait in a heap and tokens are linked: n log n steps.
+        """
+        n, merges, none = len(ids), self.merges, (_NEVER, 0)
+        if n <= SHORT:
+            ids = list(ids)
+            ranks = [merges.get(p, none)[0] for p in zip(ids, ids[1:], strict=False)]
+            while ranks and (best := min(ranks)) != _NEVER:
+                k = ranks.index(best)
+                ids[k : k + 2] = [merges[ids[k], ids[k + 1]][1]]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = merges.get((ids[k - 1], ids[k]), none)[0]
+                if k < len(ranks):
+                    ranks[k] = merges.get((ids[k], ids[k + 1]), none)[0]
+            return ids
+        ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(found[0], k) for k, pair in enumerate(zip(ids, ids[1:], strict=False)) if (found := merges.get(pair))]
+        heapify(waiting)
+        while waiting:
+            rank, k = heappop(waiting)
+            if ids[k] < 0 or (right := after[k]) >= n:
+                continue
+            found = merges.get((ids[k], ids[right]))
+            if found is None or found[0] != rank:
+                continue  # the pair that waited is no more
+            ids[k], ids[right] = found[1], -1
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+                if more := merges.get((ids[k], ids[after[k]])):
+                    heappush(waiting, (more[0], k))
+            if (left := before[k]) >= 0 and (more := merges.get((ids[left], ids[k]))):
+                heappush(waiting, (more[0], left))
+        return [x for x in ids if x >= 0]
 
     # -- tables of the verification
 
@@ -213,28 +242,40 @@ class WordCodec:
         parts = self.specials.split(chunk)
         return [x for k, p in enumerate(parts) for x in ([self.special[p]] if k % 2 else self.words.findall(self.normal(p)))]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode runs that aren't kept yet."""
+    def forget(self) -> None:
+        """Keep no encodings; a task does so at its end, so that a worker's next task has the memory."""
+        self.kept: dict[str, bytes] = {}
+        self.kept_words: dict[str, bytes] = {}
+        self.bytes_kept = [0, 0]
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Encode runs that aren't kept yet; those that are too long to keep are given back."""
         pieces = {c: self.pieces(c) for c in chunks}
         words = {p for ps in pieces.values() for p in ps if isinstance(p, str)}
-        if len(self.kept_words) + len(words) > CACHE_WORDS:
-            self.kept_words.clear()
-        kept = self.kept_words
+        if self.bytes_kept[1] > CACHE_BYTES:
+            self.kept_words, self.bytes_kept[1] = {}, 0
+        kept, here, out = self.kept_words, {}, {}
         if new := [w for w in words if w not in kept]:
-            kept.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.encode_words(new), strict=True))
+            for w, ids in zip(new, self.encode_words(new), strict=True):
+                (kept if len(w) <= LONGEST_KEPT else here)[w] = made = array("i", ids).tobytes()
+                self.bytes_kept[1] += (len(w) + len(made) + ENTRY_BYTES) * (len(w) <= LONGEST_KEPT)
         for c, ps in pieces.items():
-            self.kept[c] = b"".join([kept[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in ps])
+            made = b"".join([kept.get(p) or here[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in ps])
+            if len(c) <= LONGEST_KEPT:
+                self.kept[c] = made
+                self.bytes_kept[0] += len(c) + len(made) + ENTRY_BYTES
+            else:
+                out[c] = made
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the offsets of the texts."""
         split = [[] if not t else t.split() if not _UNUSUAL_SPACE.search(t) else regex.split(r"[^\S\x1c-\x1f]+", t) for t in texts]
-        new = set().union(*split) - self.kept.keys()
-        if len(self.kept) + len(new) > CACHE_RUNS:
-            self.kept.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(new)
-        parts = [b"".join(map(self.kept.__getitem__, s)) for s in split]
+        if self.bytes_kept[0] > CACHE_BYTES:
+            self.kept, self.bytes_kept[0] = {}, 0
+        long = self.learn(new) if (new := set().union(*split) - self.kept.keys()) else {}
+        find = self.kept.__getitem__ if not long else lambda c: long[c] if c in long else self.kept[c]
+        parts = [b"".join(map(find, s)) for s in split]
         return np.frombuffer(b"".join(parts), np.int32), np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -269,16 +310,20 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-            for a, b in common.byte_slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), SLICE_BYTES):
-                found, at = coder.encode(column.slice(a, b - a).to_pylist())
-                rest = batch.slice(a, b - a).select(keep)
-                made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found))]
-                if decoded:
-                    made.append(coder.decode(found, at).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=schema.names)
+        try:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(text))
+                sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+                for a, b in common.byte_slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), SLICE_BYTES):
+                    found, at = coder.encode(column.slice(a, b - a).to_pylist())
+                    rest = batch.slice(a, b - a).select(keep)
+                    made = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found))]
+                    if decoded:
+                        made.append(coder.decode(found, at).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=schema.names)
+        finally:
+            coder.forget()
+            common.give_back()
 
     return docs.mapInArrow(run, schema)
 

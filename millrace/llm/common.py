@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import time
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,8 +21,9 @@ WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Texts are hashed in slices of about so many bytes, which bounds a worker's memory.
 SLICE_BYTES = 2_000_000
-#: Rows in one Arrow batch, so that a batch of long texts stays small.
+#: Rows and bytes in one Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,19 +34,45 @@ def small_batches(spark: SparkSession) -> None:
     """Before Python runs on executors: rows per Arrow batch are BATCH_ROWS at most, and workers find this package."""
     paths = [p for p in (str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH")) if p]
     spark.sparkContext.environment["PYTHONPATH"] = ":".join(dict.fromkeys(":".join(paths).split(":")))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def give_back() -> None:
+    """At the end of a task: a reused worker returns the memory that it freed to the system."""
+    global _powers
+    _powers = _powers[0][:1], _powers[1][:1]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(work: Callable) -> Callable:
+    """`work` over batches, for mapInArrow, that calls give_back when it ends or fails."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which the driver and all executors can reach.
 
-    Only where neither the session nor the context names such a folder (local tests) one
-    below the warehouse serves.
+    The session's setting comes first, then the context's.  Only a local master (tests) may do
+    without either: there a folder below the warehouse serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/.millrace"
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -76,3 +77,18 @@ def test_decode_round_trip_and_empty_table(spark):
     again = bpe.decode(both.drop("decoded"), registry.WORD_BPE)
     assert {(r.doc_id, r.decoded) for r in both.collect()} == {(r.doc_id, r.decoded) for r in again.collect()} == {(1, "the</w> end</w> of</w> it</w>"), (2, "")}
     assert bpe.encode_decode(docs.limit(0), registry.WORD_BPE).count() == 0
+
+
+def test_long_words_take_no_quadratic_time(reference, coder):
+    """A word of a megabyte whose guess fails is merged exactly; short ones are still kept by bytes."""
+    rng = np.random.default_rng(9)
+    word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/"), 1_000_000))
+    began = time.time()
+    coder.encode([word])
+    assert time.time() - began < 60
+    same(reference, coder, [word[:50_000], "ab" * 30_000, "é" * 20_000])
+    coder.encode([" ".join(f"w{k}" for k in range(150_000))])
+    coder.encode(["again"])
+    assert sum(coder.bytes_kept) < 2 * bpe.CACHE_BYTES + 40_000_000
+    coder.forget()
+    assert not coder.kept and not coder.kept_words
