@@ -8,7 +8,7 @@ vectors are found by brute force, and so many lists are probed as hold the share
 those, FEWEST at least.  Within a list vectors lie in blocks of columns; after each few columns the
 squared distance so far, scaled up to all columns, is tested against the distance of the
 best so far, and a vector abandons the scan once it is farther with a confidence set by EPSILON.
-What survives all columns gets its exact cosine in double precision from the original
+A block waits in its task for the queries that probe it, which pass by in batches.  What survives all columns gets its exact cosine in double precision from the original
 vectors.  Lists are probed until k candidates are found, all lists if need be.
 
 Equal vectors are one point: only the K + 1 smallest ids of each are indexed, as no more can
@@ -24,12 +24,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import release, small_batches, stored
+from millrace.llm.common import giving_back, release, small_batches, stored
 
 SAMPLE = 20_000
 ROWS_IN_LIST = 400
@@ -96,13 +95,26 @@ def scan(queries: np.ndarray, block: np.ndarray, k: int, step: int = STEP, epsil
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision and in one order of summation."""
-    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    """Row by row, in double precision and in one order of summation.
+
+    Where squares leave the range of doubles, both are scaled by powers of two first, which
+    changes no digit.
+    """
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore", under="ignore"):
+        out = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    top = [np.abs(z).max(axis=1, initial=0) for z in (x, y)]
+    far = np.flatnonzero((np.maximum(*top) > 1e70) | (np.minimum(*top) < 1e-70))
+    if len(far):
+        x, y = (np.ldexp(z[far], -np.frexp(t[far])[1][:, None]) for z, t in zip((x, y), top, strict=True))
+        out[far] = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    return out
 
 
-def probes_for(placed: DataFrame, k: int, dims: int, centres: np.ndarray, turn: np.ndarray) -> int:
-    """How many lists, nearest first, hold the share WITHIN of the k nearest vectors of TRIALS queries."""
+def probes_for(placed: DataFrame, k: int, dims: int, centres: np.ndarray, turn: np.ndarray, within: float) -> int:
+    """How many lists, nearest first, hold the share `within` of the k nearest vectors of TRIALS queries."""
     lists = len(centres)
+    if within >= 1:
+        return lists
     tried = placed.where("query").orderBy(F.xxhash64(F.lit(SEED + 1), "id"), "id").limit(TRIALS).select("v").toPandas()
     if lists <= FEWEST or not len(tried):
         return lists
@@ -123,17 +135,17 @@ def probes_for(placed: DataFrame, k: int, dims: int, centres: np.ndarray, turn:
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(score.ravel()), pa.array(where.ravel())], names=["row", "score", "list"])
 
     place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "list"))
-    found = placed.select("v", "list").mapInArrow(best, "row long, score double, list long").where("list >= 0").withColumn("place", place)
+    found = placed.select("v", "list").mapInArrow(giving_back(best), "row long, score double, list long").where("list >= 0").withColumn("place", place)
     # the first is the query itself
     found = found.where(F.col("place").between(2, k + 1)).select("row", "list").toPandas()
     if not len(found):
         return lists
     rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
     needed = np.sort(rank[found["row"].to_numpy(), found["list"].to_numpy()]) + 1
-    return min(lists, max(FEWEST, int(needed[int(np.ceil(WITHIN * len(needed))) - 1])))
+    return min(lists, max(FEWEST, int(needed[int(np.ceil(within * len(needed))) - 1])))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", within: float = WITHIN) -> DataFrame:
     """query_id, rank, key, score: the k nearest rows found for each query row but itself."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -167,8 +179,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
                 turned = unit(batch.column(1).flatten().to_numpy().reshape(-1, dims)) @ turn
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.argmax(turned @ centres.T, axis=1).astype(np.int32))], names=["id", "v", "point", "query", "list"])
 
-    placed = stored(heads.mapInArrow(assign, "id long, v array<double>, point string, query boolean, list int"))
-    probes = probes_for(placed, k, dims, centres, turn)
+    placed = stored(heads.mapInArrow(giving_back(assign), "id long, v array<double>, point string, query boolean, list int"))
+    probes = probes_for(placed, k, dims, centres, turn, within)
     sizes = {r.list: r["count"] for r in placed.groupBy("list").count().collect()}
     blocks = np.array([-(-sizes.get(x, 0) // BLOCK_ROWS) for x in range(lists)], np.int32)
     index = placed.select("list", F.pmod(F.xxhash64("id", "point"), F.greatest(F.get(F.lit(blocks), "list"), F.lit(1)).cast("long")).cast("int").alias("block"), "id", "v", "point")
@@ -191,26 +203,45 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             taken = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), taken.column(1), taken.column(2)], names=["list", "block", "v", "point"])
 
-    probing = placed.where("query").select("id", "v", "point").mapInArrow(probe, "list int, block int, v array<double>, point string")
+    probing = placed.where("query").select("id", "v", "point").mapInArrow(giving_back(probe), "list int, block int, v array<double>, point string")
 
-    def search(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(held):
-            return pd.DataFrame({"point": [], "id": [], "score": []})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, _ = model.value
-        held = held.sort_values("id", kind="stable")
-        ids, exact = held["id"].to_numpy(), np.array(held["v"].tolist())
-        block = np.ascontiguousarray((unit(exact) @ turn).T)
-        asked = np.array(queries["v"].tolist())
-        points, out_id, out_score = [], [], []
-        for point, q, alive in zip(queries["point"], asked, scan(unit(asked) @ turn, block, k + 1), strict=True):
-            score = cosine(exact[alive], np.broadcast_to(q, (len(alive), dims)))
-            best = np.lexsort((ids[alive], -score))[: k + 1]
-            points += [point] * len(best)
-            out_id.append(ids[alive][best])
-            out_score.append(score[best])
-        return pd.DataFrame({"point": points, "id": np.concatenate(out_id), "score": np.concatenate(out_score)})
-
-    found = probing.groupBy("list", "block").cogroup(index.groupBy("list", "block")).applyInPandas(search, "point string, id long, score double")
+        flat = lambda column: column.flatten().to_numpy().reshape(-1, dims)
+
+        def answers(points: list[str], asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+            out: tuple[list, list, list] = ([], [], [])
+            for point, q, alive in zip(points, asked, scan(unit(asked) @ turn, block, k + 1, epsilon=np.inf if within >= 1 else EPSILON), strict=True):
+                score = cosine(exact[alive], np.broadcast_to(q, (len(alive), dims)))
+                best = np.lexsort((ids[alive], -score))[: k + 1]
+                for column, x in zip(out, ([point] * len(best), ids[alive][best].tolist(), score[best].tolist()), strict=True):
+                    column += x
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["point", "id", "score"])
+
+        # a block's own rows come first
+        at, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {name: batch.column(j) for j, name in enumerate(batch.schema.names)}
+            place = column["list"].to_numpy().astype(np.int64) << 33 | column["block"].to_numpy().astype(np.int64) << 1 | column["asks"].to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            for lo, hi in zip(cut, np.append(cut[1:], len(place)), strict=True):
+                if place[lo] >> 1 != at:
+                    at, held, block = place[lo] >> 1, [], None
+                here = batch.slice(lo, hi - lo)
+                if not place[lo] & 1:
+                    held.append((here.column(3).to_numpy(), flat(here.column(4))))
+                elif held:
+                    if block is None:
+                        ids, exact = (np.concatenate([x[j] for x in held]) for j in (0, 1))
+                        order = np.argsort(ids, kind="stable")
+                        ids, exact = ids[order], exact[order]
+                        block = np.ascontiguousarray((unit(exact) @ turn).T)
+                    yield from answers(here.column(5).to_pylist(), flat(here.column(4)))
+
+    both = index.select("list", "block", F.lit(0).alias("asks"), "id", "v", "point").unionByName(probing.select("list", "block", F.lit(1).alias("asks"), F.lit(0).cast("long").alias("id"), "v", "point"))
+    found = both.repartition("list", "block").sortWithinPartitions("list", "block", "asks").mapInArrow(giving_back(search), "point string, id long, score double")
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("point").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     release(spark)
     met = asked.withColumnRenamed("id", "query_id").join(best.select("point", "id", "score"), "point")

@@ -84,6 +84,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folders of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getName().startswith("millrace-"):
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of plans that nothing refers to any more.
 

@@ -26,7 +26,9 @@ Classes that still share signatures across components are then compared if they
 of their first elements, common ones last, so that no link between components is lost.  A
 comparison counts the shared shingles of two whole sets.
 
-Shingles and sets are known by hashes of 64 bits.
+Shingles are known by hashes of 64 bits, sets by 128.  Signatures name a class by the first 64
+of these; where two classes share them, both are taken to hold the signatures of either, and
+whole sets decide.  Links are between numbers of classes, which no two share.
 
 A null or empty text, or one without words, has an empty set and links with nothing; it is
 a component of its own.  Rows of equal doc_id count as equal documents where their texts
@@ -45,7 +47,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -190,18 +192,24 @@ def set_keys(elements: np.ndarray) -> tuple[int, int]:
     return int(pair.view(np.int64)[0]), int(pair.view(np.int64)[1])
 
 
+def text_key(text: Column) -> Column:
+    """What tells the texts of one id apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def sets_of(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, key (two longs) of each row's set; and rows of n_shingles -1 with a frequent shingle and its count in a chunk."""
+    """doc_id, text_key, n_shingles, key (two longs) of each row's set; and rows of n_shingles -1 with a frequent shingle and its count in a chunk."""
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(ids: pa.Array, sizes, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, a, b))], names=["doc_id", "n_shingles", "key", "key2"])
+        def rows(ids: pa.Array, texts: pa.Array, sizes, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, texts, *(pa.array(x, pa.int64()) for x in (sizes, a, b))], names=["doc_id", "text_key", "n_shingles", "key", "key2"])
 
         def frequent(sets: dict) -> pa.RecordBatch:
             value, count = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             often = count >= max(COMMON_SETS, COMMON * len(sets))
-            return rows(pa.nulls(int(often.sum()), pa.int64()), np.full(int(often.sum()), -1), _signed(value[often]), count[often])
+            n = int(often.sum())
+            return rows(pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), np.full(n, -1), _signed(value[often]), count[often])
 
         distinct: dict = {}
         weight = 0
@@ -216,10 +224,10 @@ def sets_of(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
                 if weight > CHUNK_SIGNATURES:
                     yield frequent(distinct)
                     distinct, weight = {}, 0
-            yield rows(batch.column(0), sizes, [x[0] for x in keys], [x[1] for x in keys])
+            yield rows(batch.column(0), batch.column(2), sizes, [x[0] for x in keys], [x[1] for x in keys])
         yield frequent(distinct)
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long")
+    return docs.select(F.col("doc_id").cast("long"), text, text_key(F.col(text))).mapInArrow(common.giving_back(run), "doc_id long, text_key binary, n_shingles long, key long, key2 long")
 
 
 def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray, text: str = "text", k: int = SHINGLE, scheme: Scheme | None = None) -> DataFrame:
@@ -324,9 +332,9 @@ def shared_signatures(docs: DataFrame, buckets: int, common_shingles: np.ndarray
         if parts:
             yield shared(parts)
 
-    chunks = docs.select(text).mapInArrow(sign, "bucket long, known int, signatures binary, places binary, tags binary, keys binary")
+    chunks = docs.select(text).mapInArrow(common.giving_back(sign), "bucket long, known int, signatures binary, places binary, tags binary, keys binary")
     dealt = chunks.repartition(max(1, min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4))), "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "signature long, key long, tag int")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(common.giving_back(meet), "signature long, key long, tag int")
 
 
 def parity_sketch(elements: np.ndarray) -> bytes:
@@ -433,6 +441,11 @@ def _across(sets: DataFrame, often: np.ndarray, least: Fraction) -> DataFrame:
 
 def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, for each row."""
+    return groups(docs, text, k, least).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, text: str = "text", k: int = SHINGLE, least: Fraction = Fraction(4, 5)) -> DataFrame:
+    """As component_ids, and text_key and component, a number of the component of the row's text (null without shingles)."""
     scheme = Scheme(least)
     counted = stored(sets_of(docs, text, k))
     members = counted.where("n_shingles >= 0")
@@ -444,10 +457,12 @@ def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least:
     number = F.coalesce(F.min("doc_id"), F.lit(-(1 << 63)))
     has_null = F.max(F.col("doc_id").isNull().cast("int"))
     doc = F.when(has_null == 1, F.lit(-(1 << 63))).otherwise(number).alias("doc")
-    classes = stored(members.where("n_shingles > 0").groupBy("key", "key2").agg(doc).withColumn("cls", F.col("key")))
-    held = stored(shared_signatures(docs, buckets, shingles, text, k, scheme).withColumnRenamed("key", "cls"))
+    classes = stored(members.where("n_shingles > 0").groupBy("key", "key2").agg(doc).withColumn("cls", F.monotonically_increasing_id()))
+    signed = stored(shared_signatures(docs, buckets, shingles, text, k, scheme).withColumnRenamed("key", "cls"))
     common.release(docs.sparkSession)
-    held = stored(_promising(_enough(held)))
+    named = _promising(_enough(signed)).withColumnRenamed("cls", "key")
+    held = stored(named.join(classes.select("key", "cls"), "key").select("signature", "cls", "tag"))
+    common.discard(signed)
     needed = held.select("cls").distinct()
 
     # The whole sets of the classes that hold a shared signature, from one document of each.
@@ -472,7 +487,7 @@ def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least:
                 columns = [pa.array(own, pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "sketch", "elements"])
 
-    sets = stored(texts.mapInArrow(whole, "cls long, n long, sketch binary, elements array<long>"))
+    sets = stored(texts.mapInArrow(common.giving_back(whole), "cls long, n long, sketch binary, elements array<long>"))
     common.release(docs.sparkSession)
     low, high = F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")
 
@@ -498,7 +513,7 @@ def component_ids(docs: DataFrame, text: str = "text", k: int = SHINGLE, least:
     component = connected_components(links)
     labelled = classes.join(component.withColumnRenamed("node", "cls"), "cls", "left").select("key", "key2", "doc", F.coalesce("component", "cls").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_class = labelled.join(smallest, "component").select("key", "key2", "component_id")
+    by_class = labelled.join(smallest, "component").select("key", "key2", "component", "component_id")
     out = members.join(by_class, ["key", "key2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(-(1 << 63))))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_key", "component")

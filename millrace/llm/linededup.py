@@ -8,11 +8,13 @@ are equal to the first one's.
 
 A null text stays null.  An empty text has one empty line and is never removed, as single
 lines aren't.  Rows of equal id and text count as one document and stay as often as they
-are.  A document may lose all its lines; its text is then empty and removed_lines says so.
-Columns of other names are kept as they are.
+are; they are known by 128 bits of a digest of both.  A document may lose all its lines; its text
+is then empty and removed_lines says so.  Columns of other names are kept as they are, whatever their
+names; n_lines and removed_lines of the input are replaced.
 
-Chunks meet by digest with one row for each repeated digest, so a frequent chunk's join can
-be split; texts are shuffled by document, twice.
+Chunks meet by digest with one row for each repeated digest, in a join that adaptive execution
+can split.  The bytes of a chunk that occurs more than PACKET times are compared in several
+parts, each with a copy of the first.  Texts are shuffled by document, twice.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WINDOW = 2
 DIVISOR = 3
 FACTOR = 31
 LEAST_LINES = 2
+#: Occurrences of a chunk that one part compares with the first.
+PACKET = 2_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,30 +70,32 @@ def _part(lines: Column, chunk: Column) -> Column:
 
 def deduped(docs: DataFrame, text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """docs with repeated chunks taken out of `text`, and n_lines and removed_lines."""
-    rows = docs.drop("n_lines", "removed_lines").withColumn("key_", F.xxhash64("doc_id", text))
-    long_chunks = F.filter(chunks_of(F.col(text), window, divisor), lambda c: c["len"] >= least)
+    # the columns of docs travel as one, so that none clashes with those made here
+    identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col(text))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), F.col(text).alias("whole"), F.unhex(F.md5(identity.cast("binary"))).alias("key"))
+    long_chunks = F.filter(chunks_of(F.col("whole"), window, divisor), lambda c: c["len"] >= least)
     digest = lambda lines: F.transform(long_chunks, lambda c: F.struct(F.unhex(F.md5(_part(lines, c).cast("binary"))).alias("digest"), c["start"].alias("start"), c["len"].alias("len")))
-    found = rows.where(F.instr(text, "\n") > 0).select("key_", "doc_id", F.explode(_let(lines_of(F.col(text)), digest)).alias("c")).select("key_", "doc_id", "c.*")
+    found = rows.where(F.instr("whole", "\n") > 0).select("key", "doc", F.explode(_let(lines_of(F.col("whole")), digest)).alias("c")).select("key", "doc", "c.*")
     found = stored(found)
-    first = F.min(F.struct("doc_id", "key_", "start"))
-    repeated = found.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    is_first = F.struct("doc_id", "key_", "start").eqNullSafe(F.col("first"))
-    marks = found.join(repeated, "digest").select("key_", F.struct("digest", "start", "len", is_first.alias("is_first")).alias("mark"))
+    place = F.struct("doc", "key", "start")
+    repeated = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = found.join(repeated, "digest").select("key", F.struct("digest", "start", "len", "n", place.eqNullSafe(F.col("first")).alias("is_first")).alias("mark"))
     # Equal rows have equal marks.
-    by_doc = marks.groupBy("key_").agg(F.collect_set("mark").alias("marks"))
-    parts = lambda lines: F.transform("marks", lambda m: F.struct(m["digest"].alias("digest"), m["start"].alias("start"), m["len"].alias("len"), m["is_first"].alias("is_first"), _part(lines, m).alias("part")))
-    texts = rows.select("key_", text).join(by_doc, "key_").select("key_", F.explode(_let(lines_of(F.col(text)), parts)).alias("m")).select("key_", "m.*")
-    texts = stored(texts)
-    originals = texts.where("is_first").dropDuplicates(["digest"]).select("digest", F.col("part").alias("original"))
-    equal = texts.where("NOT is_first").join(originals, "digest").where("part = original")
-    removed = equal.groupBy("key_").agg(F.collect_set(F.struct("start", "len")).alias("removed_"))
-    inside = lambda i: F.exists("removed_", lambda r: (i >= r["start"]) & (i < r["start"] + r["len"]))
-    kept = _let(lines_of(F.col(text)), lambda lines: F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
-    gone = F.coalesce(F.aggregate("removed_", F.lit(0), lambda n, r: n + r["len"]), F.lit(0)).cast("long")
-    out = rows.join(removed, "key_", "left")
+    by_doc = marked.groupBy("key").agg(F.collect_set("mark").alias("marks"))
+    parts = lambda lines: F.transform("marks", lambda m: F.struct(*(m[c].alias(c) for c in ("digest", "start", "len", "n", "is_first")), _part(lines, m).alias("part")))
+    texts = rows.select("key", "whole").join(by_doc, "key").select("key", F.explode(_let(lines_of(F.col("whole")), parts)).alias("m")).select("key", "m.*")
+    texts = stored(texts.withColumn("packets", F.ceil(F.col("n") / PACKET).cast("int")).drop("n"))
+    originals = texts.where("is_first").dropDuplicates(["digest"]).select("digest", F.explode(F.expr("sequence(0, packets - 1)")).alias("packet"), F.col("part").alias("original"))
+    others = texts.where("NOT is_first").withColumn("packet", F.pmod(F.xxhash64("key", "start"), "packets").cast("int"))
+    equal = others.join(originals, ["digest", "packet"]).where("part = original")
+    removed = equal.groupBy("key").agg(F.collect_set(F.struct("start", "len")).alias("removed"))
+    inside = lambda i: F.exists("removed", lambda r: (i >= r["start"]) & (i < r["start"] + r["len"]))
+    kept = _let(lines_of(F.col("whole")), lambda lines: F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
+    gone = F.coalesce(F.aggregate("removed", F.lit(0), lambda n, r: n + r["len"]), F.lit(0)).cast("long")
+    out = rows.join(removed, "key", "left")
     return out.select(
-        *(F.when(F.col("removed_").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "removed_lines")),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of(F.col(text)))).cast("long").alias("n_lines"),
+        *(F.when(F.col("removed").isNull(), F.col("whole")).otherwise(kept).alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "removed_lines")),
+        F.when(F.col("whole").isNull(), 0).otherwise(F.size(lines_of(F.col("whole")))).cast("long").alias("n_lines"),
         gone.alias("removed_lines"),
     )
 

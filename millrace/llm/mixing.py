@@ -1,16 +1,18 @@
 """Mixing sources to target weights by fitting subset sums over document lengths.
 
-Documents are counted by exact length for each source and one of SALTS parts of a seeded
-hash.  For each source a plan says how many documents of each length to take: the same
-share of every length, then the largest lengths while they fit, then a bounded-knapsack
-dynamic program over the lengths left for the rest of the budget.  The documents of a
+Documents are counted by exact length for each source and one of SALTS or more parts of a
+seeded hash.  For each source a plan says how many documents of each length to take: the same
+share of every length for all but DP_WORDS of the budget, the largest lengths while more than that
+is left by rounding, then a bounded-knapsack dynamic program over the lengths left for the
+rest.  The documents of a
 length are those first in a seeded order.  The plan is made from counts, one group for each
 source, with one row for each length; documents meet it by a join on source, length and
 part, so that neither a large source nor a frequent length lands in one task.
 
 A null text has size 0 and takes no words; a null source is a source of its own, the last;
 rows with equal ids count apart, and among equal ones it does not matter which is taken; an
-empty table gives an empty result.
+empty table gives an empty result.  Columns of other names are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 20_240_601
-SALTS = 64
+#: Parts of a length's documents at least, and rows of all for each part.
+SALTS, SALT_ROWS = 64, 1 << 20
 #: Words that the dynamic program fits; what is above is taken by the largest lengths.
 DP_WORDS = 4096
 
@@ -60,8 +63,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    # A plan that the program can fit whole needs no share of every length first.
-    take = np.array([int(c) * budget // total if total > DP_WORDS else 0 for c in counts], np.int64)
+    take = np.array([int(c) * max(0, budget - DP_WORDS) // total for c in counts], np.int64)
     left = budget - int((take * sizes).sum())
     for k in np.argsort(-sizes, kind="stable"):
         if left <= DP_WORDS:
@@ -104,39 +106,49 @@ def _plan(counts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": counts["source"].iloc[0], "size": sizes, "whole": whole, "take": take})
 
 
-def mixed(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs with size, source_size, target (its source's) and copies, how often the mix takes it.
-
-    `order` names the columns that tell rows of a length apart, doc_id first.  Columns of
-    docs that have the name of a column made here are replaced.
-    """
-    small_batches(docs.sparkSession)
-    made = ("size", "source_size", "target", "copies")
-    size = words_in(F.col("text")) if size is None else size
-    rows = docs.select(*(c for c in docs.columns if c.lower() not in made), size.alias("size")).withColumn("salt_", F.pmod(F.xxhash64(F.lit(seed + 1), *order), F.lit(SALTS)))
-    counts = stored(rows.groupBy("source", "size", "salt_").agg(F.count(F.lit(1)).alias("n")))
+def _mixed(rows: DataFrame, weights, share: float, most: float, seed: int, order: list[str]) -> DataFrame:
+    """rows (row, source, size and the columns of `order`) with source_size, target and copies."""
+    small_batches(rows.sparkSession)
+    salts = max(SALTS, rows.count() // SALT_ROWS)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed + 1), *order), F.lit(salts)))
+    counts = stored(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = stored(targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     aimed = by_size.join(sources, same(by_size, sources, "source")).select(by_size["source"], "size", "n", "target")
     plan = aimed.groupBy("source").applyInPandas(_plan, "source string, size long, whole long, take long")
-    dealt = counts.join(plan, same(counts, plan, "source", "size")).select(counts["source"], counts["size"], "salt_", "n", "whole", "take")
-    running = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    dealt = counts.join(plan, same(counts, plan, "source", "size")).select(counts["source"], counts["size"], "salt", "n", "whole", "take")
+    running = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     quota = F.greatest(F.lit(0), F.least("n", F.col("take") - running))
-    dealt = dealt.select("source", "size", "salt_", "whole", quota.alias("quota"))
-    dealt = stored(dealt.join(sources, same(dealt, sources, "source")).select(dealt["source"], "size", "salt_", "whole", "quota", "source_size", "target"))
-    met = rows.join(dealt, same(rows, dealt, "source", "size", "salt_")).select(*(rows[c] for c in rows.columns), "whole", "quota", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("source", "size", "salt_").orderBy(F.xxhash64(F.lit(seed), *order), *order))
-    ranked = met.withColumn("copies", F.col("whole") + (place <= F.col("quota")).cast("long"))
-    return ranked.drop("salt_", "whole", "quota")
+    dealt = dealt.select("source", "size", "salt", "whole", quota.alias("quota"))
+    dealt = stored(dealt.join(sources, same(dealt, sources, "source")).select(dealt["source"], "size", "salt", "whole", "quota", "source_size", "target"))
+    met = rows.join(dealt, same(rows, dealt, "source", "size", "salt")).select(*(rows[c] for c in rows.columns), "whole", "quota", "source_size", "target")
+    place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64(F.lit(seed), *order), *order))
+    return met.withColumn("copies", F.col("whole") + (place <= F.col("quota")).cast("long"))
+
+
+def _as_rows(docs: DataFrame, size: Column, order: tuple[Column, ...]) -> tuple[DataFrame, list[str]]:
+    """The columns of docs as one, so that none clashes with those made here."""
+    names = [f"o{k}" for k in range(len(order))]
+    return docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), size.alias("size"), *(c.alias(n) for c, n in zip(order, names, strict=True))), names
+
+
+def mixed(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, order: tuple[Column, ...] | None = None) -> DataFrame:
+    """docs with size, source_size, target (its source's) and copies, how often the mix takes it.
+
+    `order` tells rows of a length apart, doc_id if not given.  Columns of docs that have the
+    name of a column made here are replaced.
+    """
+    rows, names = _as_rows(docs, words_in(F.col("text")) if size is None else size, order or (F.col("doc_id"),))
+    made = ("size", "source_size", "target", "copies")
+    return _mixed(rows, weights, share, most, seed, names).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in made), *made)
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
+def taken(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
     Rows of a length are told apart by doc_id, then by their text.
     """
-    key = docs.withColumn("text_key_", F.xxhash64("text"))
-    chosen = mixed(key, order=("doc_id", "text_key_"), **options)
-    again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return chosen.where("copies > 0").withColumn("copy_", again).select(*docs.columns)
+    rows, names = _as_rows(docs, words_in(F.col("text")), (F.col("doc_id"), F.xxhash64("text")))
+    chosen = _mixed(rows, weights, share, most, seed, names).where("copies > 0")
+    return chosen.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

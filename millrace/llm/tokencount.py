@@ -46,7 +46,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
             found = np.fromiter((len(encode(t)) if t else 0 for t in map(pa.StringScalar.as_py, batch.column(0))), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(found)], names=["n_tokens"])
 
-    return docs.select(text).mapInArrow(run, "n_tokens long")
+    return docs.select(text).mapInArrow(common.giving_back(run), "n_tokens long")
 
 
 def histogram(n_tokens: DataFrame) -> DataFrame:

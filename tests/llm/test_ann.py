@@ -74,3 +74,23 @@ def test_few_and_none(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(frame, frame.vec_id % 50 == 0).collect())
     assert got == [(50, 1, 1), (50, 2, 100), (100, 1, 1), (100, 2, 50)]
     assert ann.nearest(frame.limit(0), frame.vec_id % 50 == 0).count() == 0
+
+
+def test_more_than_256_lists_and_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS_IN_LIST", 20)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6_000, 24)).astype(np.float32)  # 300 lists without structure
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    want = brute(np.arange(len(x)), x.astype(float))
+    for within, least in ((ann.WITHIN, 0.93), (1.0, 1.0)):
+        got = {}
+        for r in ann.nearest(frame, frame.vec_id % 50 == 0, within=within).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert set(got) == set(want)
+        assert np.mean([len(got[q] & {i for i, _ in want[q]}) for q in want]) / 5 >= least
+
+
+def test_cosine_of_very_large_and_small_components():
+    x = np.array([[1e200, 1e200], [1e-200, 0.0], [1e-200, 1e200], [3.0, 4.0], [1e300, -1e300]])
+    y = np.array([[1e200, 0.0], [1e-300, 1e-300], [1.0, 1.0], [4.0, 3.0], [5e-324, 0.0]])
+    assert ann.cosine(x, y) == pytest.approx([0.5**0.5, 0.5**0.5, 0.5**0.5, 0.96, 0.5**0.5])

@@ -28,9 +28,10 @@ def test_against_brute_force(spark):
     rows = [(k, f"own {k}\n{'more' * (k % 3)}\n{passage}\ntail {k}\nend") for k in range(30)]
     rows += [(100, None), (101, ""), (102, ""), (103, "\n\n\n"), (104, "\n\n\n"), (None, passage), (105, passage), (105, passage), (106, passage + "\n" + passage), (107, "x\n" * 3000)]
     rows += [(108, "é\nü\nß\r\n"), (109, "é\nü\nß\r\n")]
-    docs = spark.createDataFrame([(d, t, 7, "c") for d, t in rows], "doc_id long, text string, n_lines int, removed_ string").drop("removed_")
+    docs = spark.createDataFrame([(d, t, 7, "c", "k", 5) for d, t in rows], "doc_id long, text string, n_lines int, removed_ string, key string, removed int")
     out = linededup.deduped(docs)
-    assert out.columns == ["doc_id", "text", "n_lines", "removed_lines"]
+    assert out.columns == ["doc_id", "text", "removed_", "key", "removed", "n_lines", "removed_lines"]
+    assert {(r.removed_, r.key, r.removed) for r in out.collect()} == {("c", "k", 5)}
     got = sorted((str(r.doc_id), r.text, r.n_lines, r.removed_lines) for r in out.collect())
     assert [g[0] for g in got] == [w[0] for w in brute(rows)]
     for g, w in zip(sorted(got, key=str), sorted(brute(rows), key=str), strict=True):

@@ -86,9 +86,10 @@ def test_query(spark, folder):
 
 def test_taken_repeats_rows_and_empty_table(spark, folder):
     path, rows = folder
-    docs = spark.read.parquet(f"{path}/documents.parquet").drop("size")
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "7 AS quota", "'t' AS salt", "8 AS copies", "9 AS whole")
     out = mixing.taken(docs)
     assert out.columns == docs.columns
     n = out.groupBy("doc_id", "text").count().agg({"count": "max"}).first()[0]
     assert 2 <= n <= 4
+    assert {(r.quota, r.salt, r.copies, r.whole) for r in out.collect()} == {(7, "t", 8, 9)}
     assert mixing.taken(docs.limit(0)).count() == 0

@@ -59,3 +59,17 @@ def test_last_stage_decodes(spark):
     docs = spark.createDataFrame([(1, "some plain words", "a"), (2, "", "a")], "doc_id long, text string, source string")
     for r in pipeline.encode(spark, docs, SF).collect():
         assert r.decoded_sha256 == hashlib.sha256(tokenizers.decode(r.ids).encode()).hexdigest()
+
+
+def test_each_text_of_an_id_for_itself_and_clashing_columns(spark):
+    x, y = " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(40))
+    rows = [(1, x), (5, x), (5, y), (9, y), (9, y), (5, y + " more")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t), 0.5, 2, 3, 4, "k") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, n_lines int, row_ int, text_key string")
+    one = pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert one.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in one.collect()]
+    assert (1, x) in got and len(got) == 2 and got[0][1] != got[1][1] and {d for d, _ in got} == {1, 5}
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all((r.score, r.predicted, r.n_lines, r.row_, r.text_key) == (0.5, 2, 3, 4, "k") for r in out.collect())
