@@ -6,89 +6,73 @@ t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, and the sample is the (
 the smallest a.  Two documents agree in a sample with a probability of their generalised
 Jaccard similarity, the sum of smaller by the sum of larger weights.
 
-The Gamma draws are quantiles at LEVELS even steps, so that a draw is a look-up by bits of
-the hash.  ln a in fixed point and the sample's hash share one long, so that a sample is a
-minimum of longs, held in place by the aggregation.
+A Gamma(2, 1) draw is minus the logarithm of a product of two uniform draws, and all uniform
+draws of a term and function are bits of one hash of 64.  ln a in fixed point and a hash of
+(term, t) share one long, so that a sample is a minimum of longs, held in place by the
+aggregation.  A text and its edited text share most terms: a term is drawn for once, with
+its weights in both.
 
 A null or empty text, or one without words, has the empty word as its only term.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 32
-LEVELS = 4096
 GROUP = 8
 SEPARATORS = " \t\n\x0b\f\r"
-#: Cells of the range of ids that are weighed and dealt to buckets; the driver gets a row of each.
-CELLS = 16_384
-#: Characters that a bucket of neighbouring documents gets, and the most buckets.
-BUCKET_CHARS = 3_000_000
+#: Characters that a bucket of neighbouring documents gets, and the most buckets; beyond that they get larger.
+BUCKET_CHARS = 1_000_000
 MOST_BUCKETS = 20_000
+#: Sampled documents for each bucket, whose ids set the bounds of buckets.
+SAMPLED = 16
 _FIXED, _SHIFT, _LOW = float(1 << 22), 32, (1 << 32) - 1
+_NULL = -(1 << 63)
 
 
-@cache
-def gamma_levels() -> np.ndarray:
-    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by bisection."""
-    p = (np.arange(LEVELS) + 0.5) / LEVELS
-    low, high = np.zeros(LEVELS), np.full(LEVELS, 60.0)
-    for _ in range(80):
-        mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
-def _let(value: Column, body) -> Column:
-    """body of value, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def words(text: Column) -> Column:
+    """The words of a text; one empty word if there is none."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS)), "[\\x20\\x09-\\x0D]+")
 
 
-def term_weights(text: Column) -> Column:
-    """The terms of a text: array of (term, a hash; ln_w, the logarithm of its number)."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
-    hashes = F.sort_array(F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w)))
+def uniform(h: Column, at: int, bits: int) -> Column:
+    """Some bits of a hash as a number between 0 and 1, neither included."""
+    return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
 
-    def runs(h: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
-        length = lambda at, i, k: F.coalesce(F.get(at, k + 1), F.size(h)) - i
-        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(h, i).alias("term"), F.log(length(at, i, k).cast("double")).alias("ln_w"))))
 
-    return _let(hashes, runs)
+def draws(h: Column) -> tuple[Column, Column, Column]:
+    """r and ln c, of Gamma(2, 1), and b, uniform, by a hash of 64 bits."""
+    r = -F.log(uniform(h, 0, 10) * uniform(h, 10, 10))
+    ln_c = F.log(-F.log(uniform(h, 20, 15) * uniform(h, 35, 15)))
+    return r, ln_c, uniform(h, 50, 14)
 
 
-def signatures(weights: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, signature array<long>: a sample of each function, from rows (keys, term, ln_w).
+def signatures(weights: DataFrame, keys: list[str], logs: dict[str, str], samples: int = SAMPLES) -> DataFrame:
+    """keys, and for each (name, column) of logs a signature array<long> of that name.
 
-    Each row is dealt to the groups of GROUP functions, which keeps compiled methods small.
+    Rows are (keys, term, logarithms of weights, null where a term isn't there); each is dealt
+    to the groups of GROUP functions, which keeps compiled methods small.
     """
-    r_of, ln_c_of = F.lit(gamma_levels()), F.lit(np.log(gamma_levels()))
     names = range(GROUP)
-    rows = weights.select(*keys, "ln_w", "term", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // GROUP) - 1))).alias("group_"))
-    step = rows.select(*keys, "group_", "ln_w", "term", *(F.hash("term", "group_", F.lit(k)).alias(f"h{k}") for k in names), *(F.hash(F.lit(k), "group_", "term").alias(f"g{k}") for k in names))
-    bits = lambda h, at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(LEVELS - 1))
-    step = step.select(
-        *keys, "group_", "ln_w", *(f"h{k}" for k in names), *(f"g{k}" for k in names),
-        *(F.get(r_of, bits(F.col(f"h{k}"), 0)).alias(f"r{k}") for k in names), *(F.get(ln_c_of, bits(F.col(f"h{k}"), 12)).alias(f"c{k}") for k in names),
-        *((F.col(f"g{k}") * (1.0 / (1 << 32)) + 0.5).alias(f"b{k}") for k in names),
-    )
-
-    def packed(k: int) -> Column:
-        h, g, r, c, b = (F.col(f"{x}{k}") for x in "hgrcb")
-        t = F.floor(F.col("ln_w") / r + b)
-        ln_a = c - r * (t - b) - r
-        return F.shiftleft(F.floor((ln_a + 200.0) * _FIXED), _SHIFT).bitwiseOR(F.hash(h, g, t).cast("long").bitwiseAND(F.lit(_LOW)))
-
-    found = step.groupBy(*keys, "group_").agg(*(F.min(packed(k)).alias(f"m{k}") for k in names))
-    part = F.struct("group_", F.array(*(F.col(f"m{k}").bitwiseAND(F.lit(_LOW)) for k in names)).alias("part"))
-    whole = found.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    return whole.select(*keys, F.slice(F.flatten(F.transform("parts", lambda p: p["part"])), 1, samples).alias("signature"))
+    rows = weights.select(*keys, "term", *logs.values(), F.explode(F.sequence(F.lit(0), F.lit(-(-samples // GROUP) - 1))).alias("group_"))
+    step = rows.select("*", *(F.xxhash64(F.col("group_") * GROUP + k, "term").alias(f"h{k}") for k in names))
+    drawn = {k: draws(F.col(f"h{k}")) for k in names}
+    step = step.select(*keys, "group_", "term", *logs.values(), *(x.alias(f"{n}{k}") for k in names for n, x in zip("rcb", drawn[k], strict=True)))
+
+    def packed(k: int, log: str) -> Column:
+        r, ln_c, b = (F.col(f"{x}{k}") for x in "rcb")
+        t = F.floor(F.col(log) / r + b)
+        ln_a = ln_c - r * (t - b) - r
+        return F.shiftleft(F.floor((ln_a + 200.0) * _FIXED), _SHIFT).bitwiseOR(F.col("term").bitwiseXOR(F.shiftleft(t, 20)).bitwiseAND(F.lit(_LOW)))
+
+    found = step.groupBy(*keys, "group_").agg(*(F.min(packed(k, log)).alias(f"{name}{k}") for name, log in logs.items() for k in names))
+    parts = [F.array(*(F.col(f"{name}{k}").bitwiseAND(F.lit(_LOW)) for k in names)).alias(name) for name in logs]
+    whole = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group_", *parts))).alias("parts"))
+    joined = lambda name: F.slice(F.flatten(F.transform("parts", lambda p: p[name])), 1, samples)
+    return whole.select(*keys, *(joined(name).alias(name) for name in logs))
 
 
 def as_text(signature: Column) -> Column:
@@ -102,47 +86,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
+def _log(n: Column) -> Column:
+    return F.when(n > 0, F.log(n.cast("double")))
+
+
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """keys and signature of each row; keys should tell rows apart."""
-    terms = docs.select(*keys, F.explode(term_weights(F.col(text))).alias("t")).select(*keys, "t.term", "t.ln_w")
-    return signatures(terms, keys, samples)
+    terms = docs.select(*keys, F.explode(words(F.col(text))).alias("word")).select(*keys, F.xxhash64("word").alias("term"))
+    weighed = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")).select(*keys, "term", _log(F.col("n")).alias("ln_w"))
+    return signatures(weighed, keys, {"signature": "ln_w"}, samples)
+
+
+def _order(text: Column) -> Column:
+    """The first seven bytes of a text as a number, which is in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
 
 
 def neighbour_buckets(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """Rows of docs (doc_id, text) with bucket and helper.
 
-    Buckets are ranges of doc_id of about BUCKET_CHARS characters.  The first documents of a
+    Buckets are ranges of (doc_id, start of the text) of about BUCKET_CHARS characters, bounded by
+    those of sampled documents; which are sampled changes no result.  The first documents of a
     bucket come once more as helper rows at the end of the one before, the first of all at
     the end of the last, so that every document's successor is in its own bucket.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    scale = CELLS / (float(high) - float(low) + 1.0)
-    cell = F.when(F.col("doc_id").isNotNull(), F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) * F.lit(scale)))).cast("int")
-    weighed = docs.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + 100).alias("chars"), F.min("doc_id").alias("first")).collect()
-    by_cell = {r.cell: r for r in weighed if r.cell is not None}
-    most = max(BUCKET_CHARS, sum(r.chars for r in weighed) // MOST_BUCKETS)
-    bucket_of, firsts, held = np.zeros(CELLS, np.int32), [], 0
-    for k in range(CELLS):
-        if k in by_cell:
-            if not firsts or held >= most:
-                firsts.append(by_cell[k].first)
-                held = 0
-            held += by_cell[k].chars
-        bucket_of[k] = max(0, len(firsts) - 1)
-    nulls = any(r.cell is None for r in weighed)
-    last = max(0, len(firsts) - 1)
-    bucket = F.coalesce(F.get(F.lit(bucket_of), cell), F.lit(0))
-    start = F.get(F.lit(np.array(firsts or [0], np.int64)), F.col("bucket"))
-    begins = F.col("doc_id") == start
-    of_all = F.col("doc_id").isNull() if nulls else begins & (F.col("bucket") == 0)
-    place = lambda b, helper: F.struct(b.cast("int").alias("bucket"), F.lit(helper).alias("helper"))
-    own = F.array(place(F.col("bucket"), 0))
-    before = F.when(begins & (F.col("bucket") > 0), F.array(place(F.col("bucket") - 1, 1))).otherwise(F.array().cast("array<struct<bucket:int,helper:int>>"))
-    around = F.when(of_all, F.array(place(F.lit(last), 2))).otherwise(F.array().cast("array<struct<bucket:int,helper:int>>"))
-    rows = docs.withColumn("bucket", bucket).withColumn("place", F.explode(F.concat(own, before, around)))
-    return rows.select("doc_id", text, F.col("place.bucket").alias("bucket"), F.col("place.helper").alias("helper")), last + 1
+    placed = docs.withColumn("at", F.coalesce("doc_id", F.lit(_NULL))).withColumn("at2", _order(F.col(text)))
+    weight = F.length(text) + 100
+    place = F.col("at").cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(18,0)") + F.col("at2").cast("decimal(18,0)")
+    total = placed.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("chars"), F.min(place).alias("first")).first()
+    if not total.n:
+        return docs.withColumn("bucket", F.lit(0)).withColumn("helper", F.lit(0)), 1
+    wanted = min(MOST_BUCKETS, -(-total.chars // BUCKET_CHARS))
+    bounds: list[tuple[int, int]] = []
+    if wanted > 1:
+        share = min(1.0, SAMPLED * wanted / total.n)
+        found = placed.sample(share, seed=1).select("at", "at2", weight.alias("chars")).toPandas().sort_values(["at", "at2"])
+        if len(found):
+            step = np.floor(found["chars"].cumsum().to_numpy() * wanted / max(1, int(found["chars"].sum())) - 1e-9)
+            starts = found[np.concatenate([[False], step[1:] != step[:-1]])]
+            bounds = sorted({(int(a), int(b)) for a, b in zip(starts["at"], starts["at2"], strict=True)})
+    first = divmod(int(total.first), 1 << 56)
+    bounds = [x for x in bounds if x > first]
+    firsts = [first, *bounds]
+    array = lambda values: F.lit(np.array(values, np.int64))
+    ids, starts = array([x[0] for x in firsts]), array([x[1] for x in firsts])
+    # binary search for the last first document that is not after this one
+    steps = [1 << k for k in reversed(range(len(firsts).bit_length()))]
+    reaches = lambda k: (F.get(ids, k) < F.col("at")) | ((F.get(ids, k) == F.col("at")) & (F.get(starts, k) <= F.col("at2")))
+    search = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda k, step: F.when(reaches(k + step), k + step).otherwise(k))
+    rows = placed.withColumn("bucket", search)
+    begins = (F.get(ids, F.col("bucket")) == F.col("at")) & (F.get(starts, F.col("bucket")) == F.col("at2"))
+    at = lambda b, helper: F.struct(b.cast("int").alias("bucket"), F.lit(helper).alias("helper"))
+    none = F.array().cast("array<struct<bucket:int,helper:int>>")
+    before = F.when(begins & (F.col("bucket") > 0), F.array(at(F.col("bucket") - 1, 1))).otherwise(none)
+    around = F.when(begins & (F.col("bucket") == 0), F.array(at(F.lit(len(firsts) - 1), 2))).otherwise(none)
+    rows = rows.withColumn("place", F.explode(F.concat(F.array(at(F.col("bucket"), 0)), before, around)))
+    return rows.select("doc_id", text, F.col("place.bucket").alias("bucket"), F.col("place.helper").alias("helper")), len(firsts)
 
 
 def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -152,20 +151,23 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     by doc_id (nulls first, equal ids by text).  One shuffle of the texts by range of ids
     serves the order, the words and the signatures.
     """
-    rows, buckets = neighbour_buckets(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    dealt = rows.repartition(buckets, "bucket")
+    rows, buckets = neighbour_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    dealt = rows.repartition(max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if buckets > 1 else 1), "bucket")
     order = Window.partitionBy("bucket").orderBy("helper", F.col("doc_id").asc_nulls_first(), "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
     paired = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("place", F.row_number().over(order))
     paired = paired.withColumn("edited", F.when(F.col("helper") == 0, edited))
-    variant = lambda k, t: F.struct(F.lit(k).alias("variant"), t.alias("text"))
+    keys = ["bucket", "place", "helper", "doc_id", "n_chars", "sha"]
+    own = [n.cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha")]
+    variant = lambda k, t: F.struct(F.lit(k).alias("edit"), t.alias("text"))
     both = F.when(F.col("helper") == 0, F.array(variant(0, F.col("text")), variant(1, F.col("edited")))).otherwise(F.array(variant(0, F.col("text"))))
-    keys = ["bucket", "place", "variant", "helper", "doc_id", "n_chars", "sha"]
-    texts = paired.select("bucket", "place", "helper", "doc_id", n.cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), F.explode(both).alias("v"))
-    texts = texts.select("bucket", "place", "helper", "doc_id", "n_chars", "sha", "v.variant", F.col("v.text").alias("text"))
-    signed = fingerprints(texts, keys, "text", samples)
-    along = Window.partitionBy("bucket").orderBy("place", "variant")
-    met = signed.withColumn("edited_signature", F.lead("signature", 1).over(along)).withColumn("next_signature", F.lead("signature", 2).over(along))
-    return met.where("variant = 0 AND helper = 0").select("doc_id", "n_chars", "sha", "signature", "edited_signature", "next_signature")
+    texts = paired.select("bucket", "place", "helper", "doc_id", *own, F.explode(both).alias("v")).select(*keys, "v.edit", words(F.col("v.text")).alias("words"))
+    terms = texts.select(*keys, "edit", F.explode("words").alias("word")).select(*keys, "edit", F.xxhash64("word").alias("term"))
+    weighed = terms.groupBy(*keys, "term").agg(F.sum(1 - F.col("edit")).alias("n"), F.sum("edit").alias("m"))
+    weighed = weighed.select(*keys, "term", _log(F.col("n")).alias("ln_w"), _log(F.col("m")).alias("ln_e"))
+    signed = signatures(weighed, keys, {"signature": "ln_w", "edited_signature": "ln_e"}, samples)
+    along = Window.partitionBy("bucket").orderBy("place")
+    met = signed.withColumn("next_signature", F.lead("signature").over(along))
+    return met.where("helper = 0").select("doc_id", "n_chars", "sha", "signature", "edited_signature", "next_signature")

@@ -65,9 +65,23 @@ def test_null_ids_one_row_and_empty_table(spark):
     assert fingerprint.with_edits(docs.limit(0)).count() == 0
 
 
-def test_levels_are_gamma():
-    x = fingerprint.gamma_levels()
-    assert abs(x.mean() - 2) < 0.01 and abs(x.var() - 2) < 0.05 and (np.diff(x) > 0).all()
+def test_draws_are_gamma_and_uniform(spark):
+    from pyspark.sql import functions as F
+
+    r, ln_c, b = fingerprint.draws(F.xxhash64("id"))
+    x = spark.range(40_000).select(r.alias("r"), F.exp(ln_c).alias("c"), b.alias("b")).toPandas()
+    for name in "rc":
+        assert abs(x[name].mean() - 2) < 0.05 and abs(x[name].var() - 2) < 0.15
+    assert abs(x.b.mean() - 0.5) < 0.01 and abs(x.b.var() - 1 / 12) < 0.01
+    assert np.abs(x.corr().to_numpy() - np.eye(3)).max() < 0.03
+
+
+def test_one_outlying_id_and_equal_ids_do_not_fill_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_CHARS", 20_000)
+    rows = [(k, f"text {k} " * 10) for k in range(1000)] + [(4 * 10**18, "far away")] + [(5_000, f"{k * 7919 % 1000:03d} of one id") for k in range(1000)]
+    placed, buckets = fingerprint.neighbour_buckets(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in placed.where("helper = 0").groupBy("bucket").count().collect()]
+    assert buckets > 8 and sum(sizes) == 2001 and max(sizes) < 600
 
 
 def test_plan_has_no_python(spark):
