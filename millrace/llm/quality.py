@@ -38,6 +38,8 @@ GRAMS = (2, 3, 4)
 SAMPLE = 2_500
 #: Distinct features of all these documents together that the driver takes, at most (6 bytes each).
 SAMPLE_FEATURES = 16_000_000
+#: Bytes of text whose features are made at once; they take some hundred times as much memory.
+FEATURE_BYTES = 250_000
 EPOCHS = 6
 RATE = 0.5
 #: A document's gradient is spread over thousands of features; this much larger are their steps.
@@ -90,7 +92,7 @@ def row_sums(column: pa.Array, table: np.ndarray) -> np.ndarray:
     """For each text the average over its features of table[feature]; 0 without features."""
     data, offsets = common.text_buffers(column)
     out = np.zeros(len(offsets) - 1)
-    for a, b in common.byte_slices(offsets):
+    for a, b in common.byte_slices(offsets, FEATURE_BYTES):
         value, at = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         found, n = table[value], np.diff(at)
         for k in np.flatnonzero(n):  # each row's own sum, so that equal texts get equal scores
@@ -101,7 +103,7 @@ def row_sums(column: pa.Array, table: np.ndarray) -> np.ndarray:
 def bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct features and their shares of all its features."""
     data, offsets = common.text_buffers(column)
-    for a, b in common.byte_slices(offsets):
+    for a, b in common.byte_slices(offsets, FEATURE_BYTES):
         value, at = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for k in range(b - a):
             ids, counts = np.unique(value[at[k] : at[k + 1]], return_counts=True)
