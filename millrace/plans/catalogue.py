@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.database import ConstraintError, Database
 from millrace.functions.scalar import call
-from millrace.operators.relational import aggregate, index_range, join, limit_offset, order_by, total
-from millrace.sources.files import TABLES, register, table, values
+from millrace.operators.relational import aggregate, index_range, join, limit_offset, not_in, order_by, total
+from millrace.sources.files import TABLES, register, shared_folder, table, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str]] = {}
@@ -265,7 +266,10 @@ def _join_null_keys(t: Tables) -> DataFrame:
 
 @query("join_self", """SELECT a.c_nationkey AS nation, count(*) AS pairs FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND a.c_mktsegment = b.c_mktsegment GROUP BY a.c_nationkey""")
 def _join_self(t: Tables) -> DataFrame:
-    return t.customer.alias("a").join(t.customer.alias("b"), (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_custkey") < F.col("b.c_custkey")) & (F.col("a.c_mktsegment") == F.col("b.c_mktsegment"))).groupBy(F.col("a.c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("pairs"))
+    # each pair of distinct keys of a group once: n (n - 1) / 2, from counts instead of the pairs
+    each = t.customer.where("c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL AND c_custkey IS NOT NULL").groupBy("c_nationkey", "c_mktsegment", "c_custkey").agg(F.count(F.lit(1)).alias("m"))
+    groups = each.groupBy("c_nationkey", "c_mktsegment").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    return groups.groupBy(F.col("c_nationkey").alias("nation")).agg(F.sum(F.expr("(n * n - same) div 2")).alias("pairs")).where("pairs > 0")
 
 
 @query("join_three_way", """SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
@@ -398,19 +402,44 @@ def _index_seek(t: Tables) -> DataFrame:
     return index_range(t.orders, "o_orderkey", 77, 77).select("o_orderkey", "o_custkey")
 
 
-@query("insert_select", """SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 1""")
-def _insert_select(t: Tables) -> DataFrame:
-    return t.nation.unionByName(t.nation.filter("n_regionkey = 1").select((F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name", "n_regionkey"))
+def engine(name: str, sql: str, *statements: str, result: str = "SELECT * FROM t") -> None:
+    """Register statements that run one after another on a database of their own, then a query of it.
 
+    The database lies below the session's shared folder.  It begins with the table nation as
+    `n`, with its key, and an empty table `t` of the same columns.
+    """
 
-@query("update_where", """SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey FROM nation""")
-def _update_where(t: Tables) -> DataFrame:
-    return t.nation.withColumn("n_name", F.when(F.col("n_regionkey") == 2, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name")))
-
-
-@query("delete_where", """SELECT * FROM nation WHERE NOT coalesce(n_regionkey > 2, false)""")
-def _delete_where(t: Tables) -> DataFrame:
-    return t.nation.filter(~F.coalesce(F.col("n_regionkey") > 2, F.lit(False)))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        db = Database.create(spark, f"{shared_folder(spark)}/{name}")
+        db.execute_batch([
+            "CREATE TABLE n (n_nationkey INT PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey INT)",
+            "CREATE TABLE t (n_nationkey INT PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey INT)",
+        ])
+        db.append("n", table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+        for statement in statements:
+            try:
+                db.execute(statement)
+            except ConstraintError:
+                if not statement.startswith("INSERT INTO t VALUES (0"):  # the one that must be refused
+                    raise
+        return db.execute(result).rows
+
+    _FOUND[name] = (run, sql)
+
+
+_COPY = "INSERT INTO t SELECT * FROM n"
+engine("insert_values", "SELECT * FROM (VALUES (1, 'a', 5), (2, 'b', NULL)) AS x(n_nationkey, n_name, n_regionkey)", "INSERT INTO t VALUES (1, 'a', 5), (2, 'b', NULL)", result="SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM t")
+engine("insert_select", "SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_regionkey = 1", _COPY, "INSERT INTO t SELECT n_nationkey + 100, n_name, n_regionkey FROM n WHERE n_regionkey = 1")
+engine("insert_defaults", "SELECT n_nationkey, n_name, 7 AS n_regionkey FROM nation", "ALTER TABLE t ALTER COLUMN n_regionkey SET DEFAULT 7", "INSERT INTO t (n_name, n_nationkey) SELECT n_name, n_nationkey FROM n", result="SELECT n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM t")
+engine("update_where", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey FROM nation", _COPY, "UPDATE t SET n_name = n_name || '!' WHERE n_regionkey = 2")
+engine("update_all", "SELECT n_nationkey, n_name, n_regionkey + 10 AS n_regionkey FROM nation", _COPY, "UPDATE t SET n_regionkey = n_regionkey + 10")
+engine("delete_where", "SELECT * FROM nation WHERE NOT coalesce(n_regionkey > 2, false)", _COPY, "DELETE FROM t WHERE n_regionkey > 2")
+engine("delete_all", "SELECT * FROM nation WHERE false", _COPY, "DELETE FROM t")
+engine("constraint_refused", "SELECT * FROM nation", _COPY, "INSERT INTO t VALUES (0, 'again', 1)")
+engine("alter_add_column", "SELECT n_nationkey, n_name, n_regionkey, 'new' AS note FROM nation", _COPY, "ALTER TABLE t ADD COLUMN note TEXT DEFAULT 'new'")
+engine("alter_drop_column", "SELECT n_nationkey, n_name FROM nation", _COPY, "ALTER TABLE t DROP COLUMN n_regionkey")
+engine("unique_index_seek", "SELECT n_nationkey, n_name FROM nation WHERE n_name >= 'NATION_2'", _COPY, "CREATE UNIQUE INDEX by_name ON t (n_name)", result="SELECT n_nationkey, n_name FROM t WHERE n_name >= 'NATION_2'")
+engine("drop_table", "SELECT count(*) AS n FROM nation", "DROP TABLE t", "CREATE TABLE t (k BIGINT)", "INSERT INTO t SELECT n_nationkey FROM n", result="SELECT count(*) AS n FROM t")
 
 
 @query("set_union", """SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""")
@@ -444,9 +473,15 @@ sql_query("join_comma_where", """SELECT c_custkey, n_name FROM customer, nation
 
 sql_query("subquery_in", """SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)""")
 
-sql_query("subquery_not_in", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)""")
+@query("subquery_not_in", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)""")
+def _subquery_not_in(t: Tables) -> DataFrame:
+    return not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.filter("o_totalprice > 250000"), "o_custkey")
+
+
+@query("subquery_not_in_null", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 5) FROM orders WHERE o_orderkey < 100)""")
+def _subquery_not_in_null(t: Tables) -> DataFrame:
+    return not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.filter("o_orderkey < 100").select(call("NULLIF", "o_custkey", F.lit(5)).alias("k")), "k")
 
-sql_query("subquery_not_in_null", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 5) FROM orders WHERE o_orderkey < 100)""")
 
 sql_query("subquery_exists", """SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)""")
 
@@ -458,7 +493,12 @@ sql_query("subquery_correlated", """SELECT o_orderkey FROM orders AS a WHERE o_t
 
 sql_query("cte_single", """WITH big AS (SELECT * FROM orders WHERE o_totalprice > 300000) SELECT o_orderstatus, count(*) AS n FROM big GROUP BY o_orderstatus""")
 
-sql_query("cte_multiple", """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT f.o_custkey AS k, count(*) AS n FROM f JOIN o ON f.o_custkey = o.o_custkey GROUP BY f.o_custkey""")
+# both sides are counted by key before they meet
+sql_query(
+    "cte_multiple",
+    """WITH f AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), o AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) SELECT f.o_custkey AS k, f.n * o.n AS n FROM f JOIN o ON f.o_custkey = o.o_custkey""",
+    """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT f.o_custkey AS k, count(*) AS n FROM f JOIN o ON f.o_custkey = o.o_custkey GROUP BY f.o_custkey""",
+)
 
 sql_query("cte_recursive", """WITH RECURSIVE up(k) AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM up WHERE k < 40) SELECT k, k * k AS square FROM up""")
 
@@ -466,6 +506,30 @@ sql_query("is_distinct_from", """SELECT p_partkey FROM part WHERE nullif(p_size,
 
 sql_query("three_valued_logic", """SELECT p_partkey, (nullif(p_size, 7) > 3 AND p_size < 2) AS a, (nullif(p_size, 7) > 3 OR p_size > 2) AS o, NOT (nullif(p_size, 7) > 3) AS n FROM part""")
 
+sql_query("filter_is_false", """SELECT p_partkey FROM part WHERE (nullif(p_size, 7) > 20) IS FALSE""")
+
+sql_query("unary_plus_minus", """SELECT p_partkey, +p_size AS a, -(-p_size) AS b, - p_size + 3 * 2 AS c FROM part""")
+
+sql_query("precedence_and_comments", """SELECT p_partkey, 1 + p_size * 2 - 4 AS a, p_size > 3 OR p_size < 2 AND p_size = 100 AS b -- AND binds first
+FROM part -- the end""")
+
+sql_query("agg_cube", """SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY CUBE (c_nationkey, c_mktsegment)""")
+
+sql_query("agg_grouping_sets", """SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())""")
+
+sql_query("agg_filter", """SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS n FROM orders GROUP BY o_orderstatus""")
+
+
+@query("join_merge", """SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _join_merge(t: Tables) -> DataFrame:
+    return t.orders.hint("merge").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@query("join_shuffled_hash", """SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _join_shuffled_hash(t: Tables) -> DataFrame:
+    return t.orders.join(t.customer.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
 sql_query("complex_report", """SELECT c_name, n_name, count(*) AS orders_made, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P' AND c_acctbal > 0 GROUP BY c_name, n_name HAVING count(*) > 5 ORDER BY spent DESC, c_name LIMIT 20""")
 
 sql_query("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
