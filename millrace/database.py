@@ -3,7 +3,8 @@
 Queries go to Spark SQL over views of the tables' pinned versions; DDL and DML become
 DataFrame transformations that write new folders.  Each statement outside a session is a
 transaction of its own; a session pins a snapshot, sees its own changes and commits them
-together, or raises Conflict if someone else changed the same table first.
+together, or raises Conflict if someone else changed the same table first, or one that a check
+of keys has read.  Names of tables are found in any case.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.types import named
-from millrace.plans.sqltext import Constraint, Reader, SqlError, null_placement
+from millrace.plans.sqltext import Constraint, Reader, SqlError, doubles, null_placement
 from millrace.sources.versioned import Conflict, Store
 
 __all__ = ["Conflict", "ConstraintError", "Database", "Result", "Session", "SqlError"]
@@ -44,11 +45,13 @@ class Session:
     """A transaction over one snapshot; a context manager that rolls back unless committed."""
 
     def __init__(self, db: Database):
-        self.db, self.base = db, db.store.manifest()
+        self.db = db
+        self.lease, self.base = db.store.begin()
         self.tables: dict = copy.deepcopy(self.base["tables"])
         self.changed: set[str] = set()
-        self.open, self.marks = True, []
-        db.pinned[id(self)] = self.base["version"]
+        #: Tables that checks of keys have read.
+        self.read: set[str] = set()
+        self.open = True
 
     def __enter__(self) -> Session:
         return self
@@ -61,7 +64,7 @@ class Session:
         self._check_open()
         try:
             if self.changed:
-                self.db.store.commit(self.base, self.tables, self.changed)
+                self.db.store.commit(self.base, self.tables, self.changed, self.read)
         finally:
             self._close()
 
@@ -71,7 +74,7 @@ class Session:
 
     def _close(self) -> None:
         self.open = False
-        self.db.pinned.pop(id(self), None)
+        self.db.store.end(self.lease)
 
     def _check_open(self) -> None:
         if not self.open:
@@ -79,7 +82,12 @@ class Session:
 
     # -- tables
 
+    def _known(self, name: str) -> str:
+        """The table's own spelling of a name, or the name."""
+        return name if name in self.tables else next((t for t in self.tables if t.lower() == name.lower()), name)
+
     def _meta(self, name: str) -> dict:
+        name = self._known(name)
         if name not in self.tables:
             raise SqlError(f"no such table: {name}")
         return self.tables[name]
@@ -92,6 +100,9 @@ class Session:
         meta = self._meta(name)
         return self.db.store.read(meta["folders"], self._schema(meta))
 
+    def _write(self, rows: DataFrame, cluster: list[str] | None = None) -> str:
+        return self.db.store.write(rows, self.lease, cluster)
+
     def _put(self, name: str, **changes) -> None:
         self.tables[name] = self.tables[name] | changes | {"stamp": uuid.uuid4().hex}
         self.changed.add(name)
@@ -113,22 +124,20 @@ class Session:
     def _query(self, sql: str) -> DataFrame:
         """Spark SQL over views of this transaction's tables, in a session of Spark's of their own."""
         spark = self.db.spark.newSession()
-        words = {t.text.strip('`"') for t in Reader(sql).found}
+        words = {t.text.strip('`"').lower() for t in Reader(sql).found}
         for name in self.tables:
-            if name in words:
-                rows, hidden = self.table(name), ROW_ID not in words
+            if name.lower() in words:
                 meta = self._meta(name)
-                paths = [str(self.db.store.path / "data" / f) for f in meta["folders"]]
-                own = spark.read.schema(self._schema(meta)).parquet(*paths) if paths else spark.createDataFrame([], rows.schema)
-                (own.drop(ROW_ID) if hidden else own).createOrReplaceTempView(name)
-        return spark.sql(null_placement(sql))
+                own = self.db.store.read(meta["folders"], self._schema(meta), spark)
+                (own if ROW_ID in words else own.drop(ROW_ID)).createOrReplaceTempView(f"`{name}`")
+        return spark.sql(doubles(null_placement(sql)))
 
     def _create(self, r: Reader) -> Result:
         if r.take("UNIQUE", "INDEX"):
             there = r.take("IF", "NOT", "EXISTS")
             index = r.name()
             r.need("ON")
-            table = r.name()
+            table = self._known(r.name())
             columns = r.names()
             r.end()
             meta = self._meta(table)
@@ -140,11 +149,11 @@ class Session:
             constraint = vars(Constraint("unique", columns, index))
             self._check(table, self.table(table), [constraint])
             # the table is rewritten in the index's order, so that scans of a range skip row groups
-            self._put(table, constraints=[*meta["constraints"], constraint], cluster=columns, folders=[self.db.store.write(self.table(table), columns)])
+            self._put(table, constraints=[*meta["constraints"], constraint], cluster=columns, folders=[self._write(self.table(table), columns)])
             return Result(message=f"index {index} created")
         r.need("TABLE")
         there = r.take("IF", "NOT", "EXISTS")
-        name = r.name()
+        name = self._known(r.name())
         columns, constraints = [], []
         r.need("(")
         while True:
@@ -191,6 +200,8 @@ class Session:
             for column in own:
                 column["not_null"] = True
         if c.kind == "foreign":
+            c.table = self._known(c.table)
+            self.read.add(c.table)
             self._columns(self._meta(c.table), c.target)
             if len(c.columns) != len(c.target):
                 raise SqlError("a foreign key has as many columns as its target")
@@ -199,7 +210,7 @@ class Session:
     def _drop(self, r: Reader) -> Result:
         r.need("TABLE")
         there = r.take("IF", "EXISTS")
-        name = r.name()
+        name = self._known(r.name())
         cascade = r.take("CASCADE")
         r.end()
         if name not in self.tables:
@@ -218,7 +229,7 @@ class Session:
 
     def _alter(self, r: Reader) -> Result:
         r.need("TABLE")
-        name = r.name()
+        name = self._known(r.name())
         before = copy.deepcopy(self._meta(name))
         meta = self.tables[name] = copy.deepcopy(before)
         rows, old = self.table(name), self._schema(before)
@@ -265,7 +276,7 @@ class Session:
             r.end()
             self._check(name, rows, meta["constraints"])
             changed = rows.schema.names != old.names or self._schema(meta) != old
-            self._put(name, folders=[self.db.store.write(rows)] if changed else meta["folders"])
+            self._put(name, folders=[self._write(rows, meta["cluster"])] if changed else meta["folders"])
         except Exception:
             self.tables[name] = before
             raise
@@ -273,8 +284,11 @@ class Session:
 
     # -- constraints
 
-    def _check(self, name: str, rows: DataFrame, constraints: list[dict]) -> None:
-        """Raise unless rows, the whole new table, satisfy NOT NULL, ranges and the constraints."""
+    def _check(self, name: str, rows: DataFrame, constraints: list[dict], old: DataFrame | None = None) -> None:
+        """Raise unless rows satisfy NOT NULL, ranges and the constraints.
+
+        Rows are the whole new table, or those added to `old`, of which only keys are read.
+        """
         meta = self._meta(name)
         broken = []
         for c in meta["columns"]:
@@ -293,8 +307,11 @@ class Session:
             if c["kind"] in ("primary", "unique"):
                 if some.groupBy(*c["columns"]).count().where("count > 1").limit(1).count():
                     raise ConstraintError(f"{name}: {', '.join(c['columns'])} is not unique")
+                if old is not None and some.join(old.select(*c["columns"]), c["columns"], "left_semi").limit(1).count():
+                    raise ConstraintError(f"{name}: {', '.join(c['columns'])} is not unique")
             else:
-                parent = rows if c["table"] == name else self.table(c["table"])
+                self.read.add(c["table"])
+                parent = self.table(c["table"]) if c["table"] != name else rows if old is None else old.unionByName(rows)
                 target = parent.select(*(F.col(t).alias(f"t{k}") for k, t in enumerate(c["target"]))).distinct()
                 on = [F.col(own) == F.col(f"t{k}") for k, own in enumerate(c["columns"])]
                 if some.join(target, on, "left_anti").limit(1).count():
@@ -305,6 +322,7 @@ class Session:
         for other, meta in self.tables.items():
             for c in meta["constraints"]:
                 if c["kind"] == "foreign" and c["table"] == name and other != name:
+                    self.read.add(other)
                     target = rows.select(*(F.col(t).alias(f"t{k}") for k, t in enumerate(c["target"]))).distinct()
                     on = [F.col(own) == F.col(f"t{k}") for k, own in enumerate(c["columns"])]
                     if self.table(other).dropna(subset=c["columns"]).join(target, on, "left_anti").limit(1).count():
@@ -314,7 +332,7 @@ class Session:
 
     def _insert(self, r: Reader) -> Result:
         r.need("INTO")
-        name = r.name()
+        name = self._known(r.name())
         meta = self._meta(name)
         given = r.names() if r.peek() == "(" else [c["name"] for c in meta["columns"]]
         if len(set(given)) < len(given):
@@ -331,25 +349,28 @@ class Session:
             value = F.col(f"v{given.index(c['name'])}") if c["name"] in given else F.expr(c["default"] or "NULL")
             out.append(value.cast(named(c["type"]).spark).alias(c["name"]))
         fresh = fresh.select(*out)
+        return Result(affected=self._append(name, fresh))
+
+    def _append(self, name: str, fresh: DataFrame) -> int:
+        """Number rows, which have the table's columns, write them and check them against the table."""
+        meta = self._meta(name)
         # number rows within the partitions that they have, then shift each partition by those before it
         spread = fresh.withColumn("p_", F.spark_partition_id())
-        staged = self.db.store.write(spread)
+        staged = self._write(spread)
         held = self.db.store.read([staged], spread.schema)
-        counts = {x["p_"]: x["count"] for x in held.groupBy("p_").count().collect()}
-        start, shift = meta["next_row_id"], {}
-        for p in sorted(counts):
-            shift[p], start = start, start + counts[p]
-        n = sum(counts.values())
-        if not n:
-            return Result(affected=0)
-        first = F.element_at(F.create_map(*(F.lit(int(x)) for kv in shift.items() for x in kv)), F.col("p_"))
-        within = F.row_number().over(Window.partitionBy("p_").orderBy(F.monotonically_increasing_id()))
-        rows = held.withColumn(ROW_ID, (first + within - 1).cast(T.DecimalType(20, 0))).select(ROW_ID, *(c["name"] for c in meta["columns"]))
-        folder = self.db.store.write(rows, meta["cluster"])
-        added = self.db.store.read([folder], self._schema(meta))
-        self._check(name, self.table(name).unionByName(added) if meta["folders"] else added, meta["constraints"])
-        self._put(name, folders=[*meta["folders"], folder], next_row_id=start)
-        return Result(affected=n)
+        counted = held.groupBy("p_").agg(F.count(F.lit(1)).alias("n_"))
+        before = F.coalesce(F.sum("n_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shifts = counted.select("p_", before.alias("before_"))
+        n = counted.agg(F.sum("n_")).first()[0] or 0
+        if n:
+            within = F.row_number().over(Window.partitionBy("p_").orderBy(F.monotonically_increasing_id()))
+            rows = held.withColumn("w_", within).join(shifts, "p_").withColumn(ROW_ID, (F.col("before_") + F.col("w_") + (meta["next_row_id"] - 1)).cast(T.DecimalType(20, 0))).select(ROW_ID, *(c["name"] for c in meta["columns"]))
+            folder = self._write(rows, meta["cluster"])
+            added = self.db.store.read([folder], self._schema(meta))
+            self._check(name, added, meta["constraints"], self.table(name) if meta["folders"] else None)
+            self._put(name, folders=[*meta["folders"], folder], next_row_id=meta["next_row_id"] + n)
+        self.db.store.drop(staged)
+        return n
 
     def _where(self, r: Reader) -> str:
         """The condition that ends the statement, or TRUE."""
@@ -367,7 +388,7 @@ class Session:
         return found.toDF("id_", *self._schema(self._meta(name)).names, "hit_", *(f"n{k}_" for k in range(len(values)))).drop("id_")
 
     def _update(self, r: Reader) -> Result:
-        name = r.name()
+        name = self._known(r.name())
         meta = self._meta(name)
         r.need("SET")
         sets: list[tuple[str, str]] = []
@@ -390,7 +411,7 @@ class Session:
 
     def _delete(self, r: Reader) -> Result:
         r.need("FROM")
-        name = r.name()
+        name = self._known(r.name())
         marked = self._marked(name, self._where(r), [])
         n = marked.where("hit_").count()
         if n:
@@ -399,7 +420,7 @@ class Session:
 
     def _replace(self, name: str, rows: DataFrame) -> None:
         meta = self._meta(name)
-        folder = self.db.store.write(rows, meta["cluster"])
+        folder = self._write(rows, meta["cluster"])
         new = self.db.store.read([folder], self._schema(meta))
         self._check(name, new, meta["constraints"])
         self._check_children(name, new)
@@ -409,11 +430,10 @@ class Session:
 class Database:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, Store(spark, path)
-        self.pinned: dict[int, int] = {}
 
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> Database:
-        if Store.exists(path):
+        if Store.exists(spark, path):
             raise SqlError(f"a database is at {path}")
         db = cls(spark, path)
         db.store.create()
@@ -421,13 +441,13 @@ class Database:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Database:
-        if not Store.exists(path):
+        if not Store.exists(spark, path):
             raise SqlError(f"no database at {path}")
         return cls(spark, path)
 
     @classmethod
     def open_or_create(cls, spark: SparkSession, path: str) -> Database:
-        return cls.open(spark, path) if Store.exists(path) else cls.create(spark, path)
+        return cls.open(spark, path) if Store.exists(spark, path) else cls.create(spark, path)
 
     def session(self) -> Session:
         return Session(self)
@@ -439,6 +459,15 @@ class Database:
             s.commit()
             return result
 
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Insert rows of the table's columns, as INSERT ... SELECT does; the number of rows."""
+        with self.session() as s:
+            name = s._known(name)
+            kinds = {c["name"]: named(c["type"]).spark for c in s._meta(name)["columns"]}
+            n = s._append(name, rows.select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items())))
+            s.commit()
+            return n
+
     def execute_batch(self, statements: list[str]) -> list[Result]:
         """All statements or none."""
         with self.session() as s:
@@ -453,13 +482,17 @@ class Database:
             df = s._query(sql)
             return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
-    def analyze(self, rate: float = 1.0) -> dict:
-        """Row counts and for each column distinct values, NULLs, least, greatest and average length; kept in the manifest."""
+    def analyze(self, rate: float = 1.0, max_rows: int | None = None) -> dict:
+        """Row counts and for each column distinct values, NULLs, least, greatest and average length; kept in the manifest.
+
+        Of a table a share of `rate` is read, and about max_rows rows at most.
+        """
         with self.session() as s:
             out = {}
             for name, meta in s.tables.items():
                 rows = s.table(name)
-                rows = rows.sample(rate, seed=1) if rate < 1 else rows
+                share = min(rate, max_rows / max(1, rows.count())) if max_rows is not None else rate
+                rows = rows.sample(share, seed=1) if share < 1 else rows
                 aggs = [F.count(F.lit(1)).alias("n")]
                 for k, c in enumerate(meta["columns"]):
                     column = F.col(f"`{c['name']}`")
@@ -469,17 +502,12 @@ class Database:
                     aggs += [v.alias(f"{x}{k}") for v, x in zip(values, ("ndv", "nulls", "min", "max", "len"), strict=True)]
                 row = rows.agg(*aggs).first()
                 columns = {c["name"]: {x: row[f"{x}{k}"] for x in ("ndv", "nulls", "min", "max", "len")} for k, c in enumerate(meta["columns"])}
-                out[name] = {"rows": round(row["n"] / rate), "sampled": row["n"], "columns": columns}
+                out[name] = {"rows": round(row["n"] / share) if share else 0, "sampled": row["n"], "columns": columns}
                 s.tables[name] = meta | {"stats": out[name]}
                 s.changed.add(name)
             s.commit()
             return out
 
     def vacuum(self) -> dict:
-        """Remove versions that no open session needs, and what unfinished transactions left."""
-        return self.store.vacuum(set(self.pinned.values()))
-
-    def flush(self) -> None:
-        """Commits are on disk when they return; nothing is left to do."""
-
-    sync = close = flush
+        """Remove versions that no open session of any process needs, and what ended transactions left."""
+        return self.store.vacuum()

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "full": "full", "cross": "cross", "semi": "left_semi", "anti": "left_anti"}
-#: A side is broadcast by choice only if statistics put it at or below this many bytes.
-BROADCAST_BYTES = 32 << 20
 
 
 def order_by(df: DataFrame, *keys: str | tuple[str | Column, bool]) -> DataFrame:
@@ -27,18 +25,11 @@ def limit_offset(df: DataFrame, limit: int | None = None, offset: int = 0) -> Da
     return df if limit is None else df.limit(limit)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer's statistics say about a plan's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def join(left: DataFrame, right: DataFrame, on: Column | Sequence[str] | None = None, how: str = "inner") -> DataFrame:
-    """A join of any of the dialect's kinds; the right side is broadcast only if its size is known to be small."""
+    """A join of any of the dialect's kinds; the planner broadcasts a side only below the session's threshold."""
     kind = JOIN_TYPES[how]
     if kind == "cross":
         return left.crossJoin(right)
-    if kind in ("inner", "left", "left_semi", "left_anti") and estimated_bytes(right) <= BROADCAST_BYTES:
-        right = F.broadcast(right)
     return left.join(right, on, kind)
 
 
@@ -50,7 +41,20 @@ def aggregate(df: DataFrame, by: Sequence[str | Column], **aggregates: Column) -
 
 def total(column: str | Column) -> Column:
     """SUM as a double, whatever the argument's type."""
-    return F.sum(column).cast("double")
+    return F.sum((F.col(column) if isinstance(column, str) else column).cast("double"))
+
+
+def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of left whose column is NOT IN right's other column, as SQL has it.
+
+    Spark's own plan for NOT IN broadcasts the right side whatever its size.  Here a plain anti
+    join finds the rows without a match; one NULL on the right leaves none, and a NULL on
+    the left stays only if the right side is empty.
+    """
+    facts = right.agg(F.count(F.lit(1)).alias("rows_"), F.count(other).alias("known_"))
+    rest = left.join(right.select(F.col(other).alias("other_")).where("other_ IS NOT NULL"), left[column] == F.col("other_"), "left_anti")
+    kept = (F.col("rows_") == F.col("known_")) & (F.col(column).isNotNull() | (F.col("rows_") == 0))
+    return rest.crossJoin(F.broadcast(facts)).where(kept).drop("rows_", "known_")
 
 
 def index_range(df: DataFrame, column: str, low=None, high=None, low_inclusive: bool = True, high_inclusive: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path that the driver and all executors reach: below spark.checkpoint.dir, in local runs the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/.millrace"
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+
+
 def register(spark: SparkSession, folder: str, names: Iterable[str] = TABLES) -> None:
     """Temporary views of a folder's tables, for SQL."""
     for name in names:

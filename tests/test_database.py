@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.database import Conflict, ConstraintError, Database, SqlError
-from millrace.plans.sqltext import null_placement
+from millrace.plans.sqltext import doubles, null_placement
 
 
 @pytest.fixture
@@ -159,3 +159,37 @@ def test_standard_semantics(db):
     assert rows(db, "SELECT x.a FROM t x JOIN t y ON x.a = y.a AND x.b = 3") == [(2,)]
     with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR"):
         db.execute("SELECT a FROM t garbage after it")
+
+
+def test_vacuum_leaves_open_transactions_alone(db, spark):
+    people(db)
+    other = Database.open(spark, db.store.path)
+    with other.session() as s:
+        s.execute("INSERT INTO users VALUES (50, 'late', 1)")
+        db.execute("CREATE TABLE more (k INT)")
+        db.vacuum()
+        assert len(s.execute("SELECT * FROM users").collect()) == 6
+        s.commit()
+    db.vacuum()
+    assert rows(db, "SELECT count(*) FROM users") == [(6,)]
+
+
+def test_keys_hold_between_sessions(db):
+    people(db)
+    db.execute("CREATE TABLE orders (id BIGINT, user_id BIGINT, FOREIGN KEY (user_id) REFERENCES users (id))")
+    with db.session() as child, db.session() as parent:
+        child.execute("INSERT INTO orders VALUES (1, 5)")
+        parent.execute("DELETE FROM users WHERE id = 5")
+        parent.commit()
+        with pytest.raises(Conflict):
+            child.commit()
+    assert rows(db, "SELECT count(*) FROM orders") == [(0,)]
+
+
+def test_names_in_any_case_and_doubles(db):
+    people(db)
+    assert rows(db, "SELECT sum(id), abs(id - 9) FROM USERS GROUP BY abs(id - 9) HAVING SUM(age) > 24") == [(5.0, 4.0)]
+    assert [type(x) for x in rows(db, "SELECT sum(id) OVER (ORDER BY id), ceil(id + 0.5), floor(1.5), round(id) FROM Users LIMIT 1")[0]] == [float] * 4
+    assert db.execute("UPDATE Users SET age = 1 WHERE id = 1").affected == 1
+    assert doubles("SELECT a.sum, sum(x) FILTER (WHERE y) FROM t -- sum(") == "SELECT a.sum, CAST(sum(x) FILTER (WHERE y) AS DOUBLE) FROM t -- sum("
+    assert db.analyze(max_rows=2)["users"]["sampled"] <= 5

@@ -61,3 +61,23 @@ def test_entry(spark):
 
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_join_plans(spark):
+    """Hints choose the join; NOT IN is no null-aware broadcast; without keys a join is a nested loop."""
+    text = lambda n: catalogue.queries()[n](spark, SF)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in text("join_merge")
+    assert "ShuffledHashJoin" in text("join_shuffled_hash")
+    assert "BroadcastNestedLoopJoin" in text("join_theta")
+    assert "isNullAware" not in text("subquery_not_in") and "LeftAnti" in text("subquery_not_in")
+    assert text("join_self").count("Join") == 0
+
+
+def test_trims_take_unicode_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions.scalar import call
+
+    x = F.lit("　\t a b \n")
+    assert spark.range(1).select(call("LTRIM", x), call("RTRIM", x), call("TRIM", x)).first() == ("a b \n", "　\t a b", "a b")
+    assert spark.range(1).select(call("INT_DIV", F.lit(-(2**62) - 1), F.lit(2))).first()[0] == -(2**61)
