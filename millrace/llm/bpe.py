@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from millrace.llm import common
 
 #: Bytes that the encodings which a task keeps may take, of runs and of words; it starts anew beyond.
-CACHE_BYTES = 32_000_000
+CACHE_BYTES = 12_000_000
 #: What a kept string and its ids take besides their characters.
 ENTRY_BYTES = 190
 #: Longer runs and words are encoded and not kept.
@@ -37,7 +37,7 @@ LONGEST_KEPT = 64
 #: Words of more letters are merged with a heap; for shorter ones a look at all pairs is faster.
 SHORT = 48
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _FAR = np.int64(1) << 60
 _NEVER = 1 << 60
 _UNUSUAL_SPACE = regex.compile("[\x1c-\x1f]")
@@ -291,6 +291,7 @@ def codec(path: str) -> WordCodec:
     """The codec of a vocabulary file, made once in each worker."""
     if path not in _codecs:
         _codecs[path] = WordCodec(path)
+        common.give_back()  # what reading the file took
     return _codecs[path]
 
 
@@ -340,4 +341,4 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", decoded: str = "decode
             flat = np.fromiter(chain.from_iterable(x or () for x in lists), np.int32)
             yield pa.RecordBatch.from_arrays([*batch.select(schema.names[:-1]).columns, coder.decode(flat, at).cast(pa.string())], names=schema.names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(common.giving_back(run), schema)

@@ -371,7 +371,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
 
     side = lambda c, n, s: sets.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     near = pairs.join(side("a", "m", "s"), "a").join(side("b", "n", "t"), "b").select("a", "b", "m", "n", "s", "t")
-    near = stored(near.mapInArrow(possible, "a long, b long").distinct())
+    near = stored(near.mapInArrow(common.giving_back(possible), "a long, b long").distinct())
     left = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
     met = near.join(left, "a").join(right, "b")
@@ -428,7 +428,7 @@ def _across(sets: DataFrame, often: np.ndarray, least: Fraction) -> DataFrame:
                 out[4].append(own)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in out], names=["cls", "component", "n", "place", "element"])
 
-    tokens = stored(sets.select("cls", "component", "elements").mapInArrow(fronts, "cls long, component long, n long, place long, element long"))
+    tokens = stored(sets.select("cls", "component", "elements").mapInArrow(common.giving_back(fronts), "cls long, component long, n long, place long, element long"))
     met = tokens.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("element")
     tokens = stored(tokens.join(met, "element"))
     x, y = tokens.alias("x"), tokens.alias("y")
