@@ -166,13 +166,16 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
     sizes = counted.select(F.xxhash64(F.lit(SEED), "doc_id").alias("draw"), "doc_id", "n").orderBy("draw", "doc_id").collect()
     last = int(np.searchsorted(np.cumsum([r.n for r in sizes]), SAMPLE_FEATURES, side="right"))
     taken = {r.doc_id for r in sizes[:last]}
-    found, known = {}, {}
+    found, known, r = {}, {}, None
     for r in counted.toLocalIterator():
         if r.doc_id in taken:
             found[r.doc_id] = np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32)
             known[r.doc_id] = r.label_
     order = sorted(found)
-    return train([found[k] for k in order], [known[k] for k in order])
+    model = train([found[k] for k in order], [known[k] for k in order])
+    del sizes, taken, found, known, r
+    common.give_back()  # the driver has other work after this
+    return model
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, cut: float = CUT) -> DataFrame:

@@ -50,3 +50,13 @@ def test_sums_do_not_depend_on_neighbours():
     table = np.random.default_rng(0).normal(size=quality.BUCKETS).astype(np.float32)
     one = quality.row_sums(pa.array(["some text"]), table)[0]
     assert (quality.row_sums(pa.array(["x y", "some text", None, "some text"]), table)[[1, 3]] == one).all()
+
+
+def test_the_driver_gives_memory_back_after_training(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(quality.common, "give_back", lambda: called.append(1))
+    docs = spark.createDataFrame([(k, f"{'good' if k % 2 else 'bad'} text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    table, _ = quality.learned(docs, labels)
+    assert called and table.any()
+    quality.learned(docs, labels.limit(0))
