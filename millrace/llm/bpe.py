@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from millrace.llm import common
 
-#: Bytes that the encodings which a task keeps may take, of runs and of words; it starts anew beyond.
+#: Bytes that the encodings which a task keeps may take, of runs and of words, unless more is given; it starts anew beyond.
 CACHE_BYTES = 12_000_000
 #: What a kept string and its ids take besides their characters.
 ENTRY_BYTES = 190
@@ -77,6 +77,7 @@ class WordCodec:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((self.vocab[left], self.vocab[right]), (rank, self.vocab[left + right]))
         self._prepare()
+        self.room = CACHE_BYTES
         self.forget()
 
     # -- exact merging, the slow way
@@ -252,7 +253,7 @@ class WordCodec:
         """Encode runs that aren't kept yet; those that are too long to keep are given back."""
         pieces = {c: self.pieces(c) for c in chunks}
         words = {p for ps in pieces.values() for p in ps if isinstance(p, str)}
-        if self.bytes_kept[1] > CACHE_BYTES:
+        if self.bytes_kept[1] > self.room:
             self.kept_words, self.bytes_kept[1] = {}, 0
         kept, here, out = self.kept_words, {}, {}
         if new := [w for w in words if w not in kept]:
@@ -271,7 +272,7 @@ class WordCodec:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the offsets of the texts."""
         split = [[] if not t else t.split() if not _UNUSUAL_SPACE.search(t) else regex.split(r"[^\S\x1c-\x1f]+", t) for t in texts]
-        if self.bytes_kept[0] > CACHE_BYTES:
+        if self.bytes_kept[0] > self.room:
             self.kept, self.bytes_kept[0] = {}, 0
         long = self.learn(new) if (new := set().union(*split) - self.kept.keys()) else {}
         find = self.kept.__getitem__ if not long else lambda c: long[c] if c in long else self.kept[c]
@@ -300,8 +301,8 @@ def with_columns(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in schema.fields if f.name.lower() not in names), *fields])
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
-    """docs with the ids (array<int>) of column `text` and, if asked for, their decoded text."""
+def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", room: int = CACHE_BYTES) -> DataFrame:
+    """docs with the ids (array<int>) of column `text` and, if asked for, their decoded text; room: as CACHE_BYTES."""
     common.small_batches(docs.sparkSession)
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
     if decoded:
@@ -311,6 +312,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
+        coder.room = room
         try:
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index(text))

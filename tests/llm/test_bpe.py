@@ -92,3 +92,18 @@ def test_long_words_take_no_quadratic_time(reference, coder):
     assert sum(coder.bytes_kept) < 2 * bpe.CACHE_BYTES + 40_000_000
     coder.forget()
     assert not coder.kept and not coder.kept_words
+
+
+def test_more_room_encodes_less_and_the_same(coder):
+    texts = [" ".join(f"word{k % 700}x{chr(97 + k % 26) * 3}" for k in range(j, j + 700)) for j in range(0, 2100, 300)]
+    found = []
+    for room in (1_000, registry.OP2_ROOM):
+        coder.forget()
+        coder.room, learned = room, []
+        learn = type(coder).learn
+        coder.learn = lambda chunks, learned=learned, learn=learn: (learned.extend(chunks), learn(coder, chunks))[1]
+        found.append(([coder.encode([t])[0].tolist() for t in texts], len(learned)))
+        del coder.learn
+    coder.room = bpe.CACHE_BYTES
+    coder.forget()
+    assert found[0][0] == found[1][0] and found[1][1] < found[0][1]
